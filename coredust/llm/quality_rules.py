@@ -34,15 +34,19 @@ FEATURES = tuple(FLOORS)
 BIN, DISTANCE_BIN = 0.02, 0.02
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text."""
+def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text.
+
+    With ``carry`` also ``_cd_row``: the whole input row as a struct.
+    """
+    ids = ["doc_id", "lang", "source"] + ["_cd_row"] * carry
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", "lang", "source", text.alias("_t"))
-    d = d.select("doc_id", "lang", "source", "_t", F.filter(F.split("_t", SPACE), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
+    d = docs.select("doc_id", "lang", "source", text.alias("_t"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_cd_row")] if carry else []))
+    d = d.select(*ids, "_t", F.filter(F.split("_t", SPACE), lambda w: w != "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     chained = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW)))
     hashes = F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: chained(F.col("_w"), i))).otherwise(F.array().cast("array<bigint>"))
     d = d.select(
-        "doc_id", "lang", "source", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        *ids, F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), hashes.alias("_h"),
     )
     # Most texts repeat no window; only the others are sorted by (hash, position) to find the repeated ones.
@@ -54,7 +58,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     # A window at p adds the words that the one before does not cover.
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate("_p", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
-    return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return d.select(*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -129,6 +133,16 @@ def fit(rows: DataFrame) -> DataFrame:
     return est
 
 
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The statistics are written once with their rows: texts need no join by doc_id, and no filter on a statistic can be
+    pushed into the expressions that compute it.
+    """
+    rows = materialize(text_statistics(docs, carry=True), "quality-rows")
+    return _judged(rows, cutoff).filter("kept").select(*(F.col(f"_cd_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2."""
     return _judged(materialize(text_statistics(docs), "quality-stats"), cutoff)

@@ -67,19 +67,19 @@ def train(spark: SparkSession, labelled: Sequence[tuple[str, int]] | None = None
     rows = table.select("row", F.col("y").cast("double").alias("y"), hashed_ngrams(F.col("u"), dims).alias("g"))
     cells = rows.select("row", F.explode("g").alias("feature"), (1 / F.sqrt(F.size("g"))).alias("v"))
     forward = rows.agg(F.sort_array(F.collect_list(F.struct("row", "y", "g"))).alias("fwd"))
-    inverse = cells.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("row", "v"))).alias("cells")).agg(F.sort_array(F.collect_list(F.struct("feature", "cells"))).alias("inv"))
+    inverse = spark.range(dims).withColumnRenamed("id", "feature").join(cells, "feature", "left").groupBy("feature")
+    inverse = inverse.agg(F.sort_array(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "v")))).alias("cells"))
+    inverse = inverse.agg(F.sort_array(F.collect_list(F.struct("feature", "cells"))).alias("inv"))
     # One row each: the labelled table's size bounds them.
     both = forward.withColumn("one", F.lit(1)).join(inverse.withColumn("one", F.lit(1)), "one")
-    both = both.withColumn("full", F.expr(f"array_repeat(0D, {dims})"))
     step = f"""
       aggregate(sequence(1, {2 * epochs}),
-        named_struct('w', full, 'b', 0D, 'e', transform(fwd, r -> 0D)),
+        named_struct('w', transform(inv, f -> 0D), 'b', 0D, 'e', transform(fwd, r -> 0D)),
         (a, t) -> CASE WHEN t % 2 = 1
           THEN named_struct('w', a.w, 'b', a.b, 'e', transform(fwd, r -> r.y - 1D / (1D + exp(-(a.b + aggregate(r.g, 0D, (s, k) -> s + a.w[k]) / sqrt(size(r.g)))))))
-          ELSE named_struct('w', aggregate(array(1), a.w, (w, one) -> transform(wide, (cells, j) -> w[j] * {1 - RATE * L2}D + {RATE}D * aggregate(cells, 0D, (s, c) -> s + a.e[c.row] * c.v))),
+          ELSE named_struct('w', transform(inv, (f, j) -> a.w[j] * {1 - RATE * L2}D + {RATE}D * aggregate(f.cells, 0D, (s, c) -> s + a.e[c.row] * c.v)),
                             'b', a.b + {RATE}D * aggregate(a.e, 0D, (s, x) -> s + x) / size(a.e), 'e', a.e) END)"""
-    wide = both.withColumn("cellmap", F.map_from_entries("inv")).withColumn("wide", F.expr(f"transform(sequence(0, {dims - 1}), j -> coalesce(cellmap[j], slice(inv[0].cells, 1, 0)))"))
-    model = wide.select(F.expr(step).alias("m")).select("m.b", "m.w").first()
+    model = both.select(F.expr(step).alias("m")).select("m.b", "m.w").first()
     return model["b"], list(model["w"])
 
 
