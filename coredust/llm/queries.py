@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from . import bpe, mixing, quality_net, quality_rules, sharding, simhash, url_filter
+from . import ann, bpe, lm_score, mixing, quality_net, quality_rules, sharding, simhash, url_filter, warc
+from ._common import new_path
 
 WORD_BPE = "word_bpe_49k.json"
 RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/")]
@@ -30,6 +32,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = _table(spark, sf_dir, "pages"), new_path(spark, "warc")
+    warc.write_pages(pages, path)
+    return warc.read_pages(spark, path)
+
+
 def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -38,6 +46,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,8 +68,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_quality_net, op4_bpe, op6_quality_rules, op7_url_filter, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality_net, op4_bpe, op5_lm_score, op6_quality_rules, op7_url_filter, op8_sharding, op9_mixing, op10_ann)}
 
 
 #: Water filling and the inverse of the linear weight schedule, written from the definition: every candidate level is
@@ -94,5 +110,18 @@ FROM passes
 """
 
 
+#: The 160 bits of SHA-1 as 32 base32 letters: five hex digits hold four of them.
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, h, CAST(strlen(body) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op9_mixing": OP9_SQL}

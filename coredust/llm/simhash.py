@@ -209,8 +209,8 @@ def links(fps: DataFrame, budget: int = BUDGET, forest: bool = False, subtrie_ro
         big = rows.filter(F.col("big") & (F.col("depth") + SPLIT_BITS <= 63)).drop("big")
         if big.isEmpty():
             break
-        deeper = F.shiftrightunsigned("r", (F.lit(64 - SPLIT_BITS) - F.col("depth")).cast("int"))
-        partner = F.when(F.shiftrightunsigned("r", (F.lit(64) - F.col("depth")).cast("int")) == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        deeper = F.call_function("shiftrightunsigned", F.col("r"), (F.lit(64 - SPLIT_BITS) - F.col("depth")).cast("int"))
+        partner = F.when(F.call_function("shiftrightunsigned", F.col("r"), (F.lit(64) - F.col("depth")).cast("int")) == F.col("a"), F.col("b")).otherwise(F.col("a"))
         low = deeper.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
         spent = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
         mask = F.explode(F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.bit_count(m) + spent <= budget))
