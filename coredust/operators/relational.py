@@ -161,7 +161,7 @@ def with_ancestors(paths: DataFrame, node: str, hits: DataFrame) -> DataFrame:
 
 def slots(df: DataFrame, count: int) -> DataFrame:
     """A row for each slot 0..count-1 of every table."""
-    return df.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long"))
+    return df.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
 
 
 def flag_names(value: Column, names: Sequence[str]) -> Column:

@@ -55,7 +55,7 @@ schemas(
     symbols="address long, name string, size long",
 )
 
-PROCESS = ["pid", "ppid", F.col("name").alias("image_file_name"), "offset", "threads", "handles", "session_id", "wow64", "create_time", "exit_time"]
+PROCESS = ("pid", "ppid", "name", "offset", "threads", "handles", "session_id", "wow64", "create_time", "exit_time")
 
 
 def _listed(s: Session, source: str = "pslist") -> DataFrame:
@@ -64,7 +64,8 @@ def _listed(s: Session, source: str = "pslist") -> DataFrame:
 
 
 def _place(physical: bool):
-    return ["physical" if c == "offset" and physical else c for c in PROCESS]
+    shown = {"name": F.col("name").alias("image_file_name"), "offset": F.col("physical").alias("offset") if physical else F.col("offset")}
+    return [shown.get(c, F.col(c)) for c in PROCESS]
 
 
 @operator("windows.pslist.PsList")
