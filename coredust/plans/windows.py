@@ -161,15 +161,21 @@ def _kernel_start(s):
     return s.table("win_modules").filter("source = 'list'").groupBy("image").agg(F.min_by("base", "ord").alias("kernel_start"))
 
 
+def _above(c, strict=False):
+    """Whether an address lies at or after the kernel's start; both are unsigned values held in longs."""
+    a, k = (F.col(x).bitwiseXOR(F.lit(-(1 << 63))) for x in (c, "kernel_start"))
+    return a > k if strict else a >= k
+
+
 @operator("windows.unloadedmodules.UnloadedModules")
 def unloaded(s):
-    d = s.table("win_unloaded").join(_kernel_start(s), "image").filter("ord < 1024 AND time IS NOT NULL AND start % 4096 = 0 AND end % 4096 = 0 AND start >= kernel_start AND end >= kernel_start")
+    d = s.table("win_unloaded").join(_kernel_start(s), "image").filter("ord < 1024 AND time IS NOT NULL AND start % 4096 = 0 AND end % 4096 = 0").filter(_above("start") & _above("end"))
     return d.select("image", "name", "start", "end", "time")
 
 
 @operator("windows.driverscan.DriverScan")
 def driverscan(s):
-    return s.table("win_drivers").join(_kernel_start(s), "image").filter("start = 0 OR start > kernel_start").select("image", "offset", "start", "size", "service_key", "driver_name", "name")
+    return s.table("win_drivers").join(_kernel_start(s), "image").filter((F.col("start") == 0) | _above("start", strict=True)).select("image", "offset", "start", "size", "service_key", "driver_name", "name")
 
 
 #: Order of the major function codes. Fixed values.
@@ -178,7 +184,7 @@ IRP_NAMES = ("IRP_MJ_CREATE", "IRP_MJ_CREATE_NAMED_PIPE", "IRP_MJ_CLOSE", "IRP_M
 
 @operator("windows.driverirp.DriverIrp")
 def driverirp(s):
-    d = s.table("win_drivers").select("image", "offset", "driver_name", F.posexplode("irps").alias("_i", "address")).join(_kernel_start(s), "image").filter("address >= kernel_start")
+    d = s.table("win_drivers").select("image", "offset", "driver_name", F.posexplode("irps").alias("_i", "address")).join(_kernel_start(s), "image").filter(_above("address"))
     d = d.withColumn("irp", F.element_at(F.array(*(F.lit(n) for n in IRP_NAMES)), F.col("_i") + 1))
     return resolve(s, d, "address", _loaded(s), inclusive=True).select("image", "offset", "driver_name", "irp", "address", "module", "symbol")
 
@@ -189,7 +195,7 @@ KNOWN_DRIVERS = ("ACPI_HAL", "PnpManager", "RAW", "WMIxWDM", "Win32k", "Fs_Rec")
 
 @operator("windows.malware.drivermodule.DriverModule")
 def drivermodule(s):
-    d = s.table("win_drivers").filter("coalesce(driver_name, service_key, name) IS NOT NULL").join(_kernel_start(s), "image").filter("start = 0 OR start >= kernel_start")
+    d = s.table("win_drivers").filter("coalesce(driver_name, service_key, name) IS NOT NULL").join(_kernel_start(s), "image").filter((F.col("start") == 0) | _above("start"))
     d = resolve(s, d, "start", _loaded(s)).filter("module IS NULL")
     return d.select("image", "offset", F.coalesce(F.regexp_replace("driver_name", r"^\\Driver\\", "").isin(*KNOWN_DRIVERS), F.lit(False)).alias("known_exception"), "driver_name", "service_key", F.col("name").alias("alternative_name"))
 
@@ -397,7 +403,7 @@ def threads(s):
 @operator("windows.orphan_kernel_threads.Threads")
 def orphan_threads(s):
     system = s.table("win_processes").filter("pid = 4 OR ppid = 4").select("image", "pid").distinct()
-    d = s.table("win_threads").filter("source = 'scan' AND exit_time IS NULL").join(system, ["image", "pid"], "left_semi").join(_kernel_start(s), "image").filter("start >= kernel_start")
+    d = s.table("win_threads").filter("source = 'scan' AND exit_time IS NULL").join(system, ["image", "pid"], "left_semi").join(_kernel_start(s), "image").filter(_above("start"))
     d = resolve(s, d, "start", _loaded(s)).filter("module IS NULL")
     null = F.lit(None).cast("string")
     return d.withColumns({"start_path": null, "win32_start_path": null}).select(*_THREAD)
