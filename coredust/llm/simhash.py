@@ -1,17 +1,22 @@
 """SimHash near-duplicate detection by a binary trie self-join.
 
 Fingerprints are computed from whole texts; equal ones form a class at once. The distinct fingerprints, rotated so that
-each of ``budget + 1`` blocks of bits leads once, are held as sorted arrays, which are binary tries: a node is a range of
-the array and a bit splits it in two. Two fingerprints within the budget agree on some leading block (pigeonhole), so
-each sub-trie below a leading block is a piece of work of its own. In it, node pairs are traversed together from the
-root: a pair of unequal children adds one differing bit, and a pair is pruned as soon as its bits exceed the budget.
-All pairs of a level are advanced at once with numpy.
+each of several blocks of bits leads once, are held as sorted arrays, which are binary tries: a node is a range of the
+array and a bit splits it in two. Two fingerprints within the budget differ in at most ``budget // blocks`` bits of some
+block (pigeonhole); with ``budget + 1`` blocks that is none. So in each rotation, node pairs are traversed together from
+the root: a pair of unequal children adds one differing bit, and a pair is pruned as soon as its bits exceed what the
+leading block, or below it the budget, allows. Many pairs are advanced at once with numpy, depth first in bounded pieces.
 
 Sub-tries with more than ``SUBTRIE_ROWS`` fingerprints are divided further: a row goes to every pair of child nodes that
 is still within the budget, so any sub-trie becomes many bounded tasks and no pair is lost. A fingerprint has at most
 64 + 64*63/2 neighbours within two bits, so links grow in proportion to fingerprints, never with a group's square; for
 components each task emits a spanning forest of the links it finds.
 
+A larger budget finds more distant copies but is less selective. ``NEAR_BUDGET`` is therefore combined with a check of
+every candidate pair: a one-permutation MinHash sketch of the distinct five-word shingles (``BINS`` bins of a byte), which
+estimates their Jaccard similarity; it must be ``SIMILARITY`` or more. The sketch counts nearly exactly for texts with
+fewer shingles than bins; its standard error is at most 0.025 for longer ones.
+
 Edge cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other; a text with
 fewer words than a shingle is hashed whole; repeated rows share a class; a null doc_id never becomes a component's id
 unless all are null; an empty table gives an empty result; extra columns are ignored by ``cluster`` and carried by
@@ -36,87 +41,139 @@ SEED = 42
 #: Fingerprints of a sub-trie beyond which it is divided, and by how many bits at a time.
 SUBTRIE_ROWS, SPLIT_BITS = 100_000, 6
 _CHUNK = 1 << 16
+#: For near-duplicates by similarity: words of a shingle, least similarity, bits in which the three-word fingerprints of
+#: such texts may differ, and blocks of the pigeonhole.
+NEAR_WORDS, SIMILARITY, NEAR_BUDGET, NEAR_BLOCKS, NEAR_ROWS = 5, 0.8, 11, 3, 400_000
+BINS = 256
+#: Node pairs advanced at once, and links held before they are reduced to a forest.
+_PIECE, _HELD = 1 << 16, 1 << 20
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of a text's word shingles, unsigned."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; of the whole sequence if it is shorter."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only, as the word rule asks
     if not tokens:
-        return 0
-    joined, n = b" ".join(tokens), len(tokens)
+        return np.zeros(0, np.uint64)
+    joined, n, digest = b" ".join(tokens), len(tokens), xxhash.xxh64_intdigest
     if n <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - words] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - words] + 1)).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         octets = hashes[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit SimHash of a text's word shingles, unsigned."""
+    return _majority(_shingle_hashes(text, words))
+
 
+def sketch(text: str | None, words: int = NEAR_WORDS) -> bytes:
+    """A byte a bin: from the least hash of the distinct shingles in it, 1 to 255, or 0 for an empty bin."""
+    h = np.unique(_shingle_hashes(text, words))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)  # another order than that of the fingerprint's bits
+    h.sort()
+    where, first = np.unique((h & np.uint64(BINS - 1)).astype(np.int64), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[where] = 1 + (h[first] >> np.uint64(20)) % np.uint64(255)
+    return out.tobytes()
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long."""
+
+def similar(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimated Jaccard similarity of rows i and j is ``least`` or more; bytes agree by chance once in 255."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), _CHUNK):
+        a, b = sketches[i[at : at + _CHUNK]], sketches[j[at : at + _CHUNK]]
+        union = ((a | b) > 0).sum(1)
+        both = ((a > 0) & (b > 0)).sum(1)
+        equal = ((a == b) & (a > 0)).sum(1)
+        matches = equal - (both - equal) / 254
+        out[at : at + _CHUNK] = (matches >= least * union) | (union == 0)
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, sketches: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a long; with ``sketches`` also the text's ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            more = [pa.array([sketch(t.as_py()) for t in b.column(1)], pa.binary())] if sketches else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *more], names=["doc_id", "fp"] + ["sketch"] * sketches)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary" * sketches)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def trie_pairs(values: np.ndarray, nodes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(values: np.ndarray, nodes: np.ndarray, budget: int, lead: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of ``values`` (unsigned, sorted within each node) that differ in at most ``budget`` bits.
 
-    ``nodes``: rows (lo1, hi1, lo2, hi2, bits differing so far, next bit) of node pairs to start from; a node paired with
-    itself has equal ranges. The next bit counts down from 63; all values of a range agree above it.
+    ``nodes``: rows (lo1, hi1, lo2, hi2, bits differing so far, next bit, last bit of the leading block) of node pairs to
+    start from; a node paired with itself has equal ranges. The next bit counts down from 63; all values of a range agree
+    above it. In the leading block at most ``lead`` bits may differ; pairs beyond that are left to other rotations.
     """
+    lead = budget if lead is None else lead
     n = len(values)
-    ones = np.zeros((65, n + 1), np.int32)
+    ones = np.zeros((64, n + 1), np.int32)
     for bit in range(64):
         np.cumsum((values >> np.uint64(bit)) & np.uint64(1), out=ones[bit, 1:])
-    left, right = [], []
-    todo = nodes.astype(np.int64)
-    while len(todo):
-        lo1, hi1, lo2, hi2, err, bit = todo.T
+    stack = [nodes[i : i + _PIECE].astype(np.int64) for i in range(0, len(nodes), _PIECE)]
+    while stack:
+        todo = stack.pop()
+        if len(todo) < _PIECE // 4 and stack and len(stack[-1]) + len(todo) <= _PIECE:
+            todo = np.concatenate((todo, stack.pop()))
+        lo1, hi1, lo2, hi2, err, bit, last = todo.T
         same = lo1 == lo2
         size1, size2 = hi1 - lo1, hi2 - lo2
-        # A pair of single fingerprints, and a node of two, are decided at once.
-        single, double = ~same & (size1 == 1) & (size2 == 1), same & (size1 == 2)
-        i = np.concatenate((lo1[single], lo1[double]))
-        j = np.concatenate((lo2[single], lo1[double] + 1))
-        close = _popcount(values[i] ^ values[j]) <= budget
-        left.append(i[close])
-        right.append(j[close])
-        rest = ~(single | double | (same & (size1 < 2)))
-        # Below the last bit all values of a node are equal: every pair of a cross pair is within the budget.
-        end = rest & (bit < 0)
-        for a, b, c, d in todo[end & ~same][:, :4].tolist():
-            g = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-            left.append(g[0].ravel())
-            right.append(g[1].ravel())
-        lo1, hi1, lo2, hi2, err, bit = todo[rest & ~end].T
+        # Small nodes, and those without a bit left, are compared value by value.
+        direct = (size1 * size2 <= 64) | (bit < 0)
+        for a, m, b, k, own in _rectangles(lo1[direct], size1[direct], lo2[direct], size2[direct], same[direct]):
+            i, j = a + m, b + k
+            close = (_popcount(values[i] ^ values[j]) <= budget) & (~own | (i < j))
+            yield np.minimum(i[close], j[close]), np.maximum(i[close], j[close])
+        lo1, hi1, lo2, hi2, err, bit, last = todo[~direct].T
         same = lo1 == lo2
         mid1 = hi1 - (ones[bit, hi1] - ones[bit, lo1])
         mid2 = hi2 - (ones[bit, hi2] - ones[bit, lo2])
         b = bit - 1
-        children = [
-            np.stack((lo1, mid1, lo2, mid2, err, b), 1), np.stack((mid1, hi1, mid2, hi2, err, b), 1),
-            np.stack((lo1, mid1, mid2, hi2, err + 1, b), 1), np.stack((mid1, hi1, lo2, mid2, err + 1, b), 1)[~same],
-        ]
-        todo = np.concatenate(children)
-        todo = todo[(todo[:, 4] <= budget) & (todo[:, 1] > todo[:, 0]) & (todo[:, 3] > todo[:, 2])]
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return np.minimum(i, j), np.maximum(i, j)
+        children = np.concatenate([
+            np.stack((lo1, mid1, lo2, mid2, err, b, last), 1), np.stack((mid1, hi1, mid2, hi2, err, b, last), 1),
+            np.stack((lo1, mid1, mid2, hi2, err + 1, b, last), 1), np.stack((mid1, hi1, lo2, mid2, err + 1, b, last), 1)[~same],
+        ])
+        limit = np.where(children[:, 5] + 1 >= children[:, 6], lead, budget)
+        children = children[(children[:, 4] <= limit) & (children[:, 1] > children[:, 0]) & (children[:, 3] > children[:, 2])]
+        stack += [children[i : i + _PIECE] for i in range(0, len(children), _PIECE)]
+
+
+def _rectangles(lo1, size1, lo2, size2, same) -> Iterator[tuple[np.ndarray, ...]]:
+    """All cells of rectangles of indices, about ``_PIECE * 16`` at a time: (row start, row, column start, column, same)."""
+    cells = size1 * size2
+    if not len(cells):
+        return
+    big = np.cumsum(cells) // (_PIECE * 16)
+    for part in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(big)) + 1):
+        c = cells[part]
+        if len(part) == 1 and c[0] > _PIECE * 64:  # equal values below the last bit: row by row
+            for r in range(int(size1[part[0]])):
+                k = np.arange(size2[part[0]])
+                yield np.full(len(k), lo1[part[0]]), np.full(len(k), r), np.full(len(k), lo2[part[0]]), k, np.full(len(k), same[part[0]])
+            continue
+        which = np.repeat(np.arange(len(part)), c)
+        inner = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        width = size2[part][which]
+        yield lo1[part][which], inner // width, lo2[part][which], inner % width, same[part][which]
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,29 +191,48 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
         label = new
 
 
-def _links_in(batches: Iterator[pa.RecordBatch], budget: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (depth, a, b, r, fp) sorted by all of them: each (depth, a, b) is a pair of nodes with its fingerprints."""
+def _links_in(batches: Iterator[pa.RecordBatch], budget: int, lead: int, widths: list[int], least: float | None, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (k, depth, a, b, r, fp) sorted by all of them: each (k, depth, a, b) is a pair of nodes with its fingerprints."""
 
-    def linked(table: pa.Table) -> pa.RecordBatch:
-        depth, a, b, r, fp = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("depth", "a", "b", "r", "fp"))
+    def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, depth, a, b, r, fp = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("k", "depth", "a", "b", "r", "fp"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if least is not None else None
         values = r.view(np.uint64)
-        key = np.stack((table.column("k").to_numpy(), depth, a, b), 1)
+        key = np.stack((k, depth, a, b), 1)
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
         last = np.append(first[1:], len(r))
         nodes = []
         for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
             if hi - lo > 1:
-                d = int(depth[lo])
+                d, floor = int(depth[lo]), 64 - widths[int(k[lo])]
                 if a[lo] == b[lo]:
-                    nodes.append((lo, hi, lo, hi, 0, 63 - d))
+                    nodes.append((lo, hi, lo, hi, 0, 63 - d, floor))
                 else:  # the rows of either node, told apart by their leading bits
                     own = (values[lo:hi] >> np.uint64(64 - d)).view(np.int64) == a[lo]
                     if own.any() and not own.all():
                         mid = lo + (int(own.sum()) if own[0] else int((~own).sum()))
-                        nodes.append((lo, mid, mid, hi, int(_popcount(np.array([a[lo] ^ b[lo]]))[0]), 63 - d))
-        i, j = trie_pairs(values, np.array(nodes or np.zeros((0, 6)), np.int64).reshape(-1, 6), budget)
+                        nodes.append((lo, mid, mid, hi, int(_popcount(np.array([a[lo] ^ b[lo]]))[0]), 63 - d, floor))
+        left, right, held = [], [], 0
+        for i, j in trie_pairs(values, np.array(nodes or np.zeros((0, 7)), np.int64).reshape(-1, 7), budget, lead):
+            if sketches is not None and len(i):
+                near = similar(sketches, i, j, least)
+                i, j = i[near], j[near]
+            left.append(i)
+            right.append(j)
+            held += len(i)
+            if held > _HELD:
+                if forest:
+                    u, v = _forest(len(r), np.concatenate(left), np.concatenate(right))
+                    left, right, held = [u], [v], len(u) // 2
+                else:
+                    yield named(np.concatenate(left), np.concatenate(right), fp)
+                    left, right, held = [], [], 0
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
         if forest:
             i, j = _forest(len(r), i, j)
+        yield named(i, j, fp)
+
+    def named(i: np.ndarray, j: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["u", "v"])
 
     held: list[pa.RecordBatch] = []
@@ -173,52 +249,68 @@ def _links_in(batches: Iterator[pa.RecordBatch], budget: int, forest: bool) -> I
         if not len(changes):
             continue
         cut = int(changes[-1]) + 1
-        yield linked(table.slice(0, cut))
+        yield from linked(table.slice(0, cut))
         held, rows = table.slice(cut).to_batches(), len(table) - cut
     if rows:
-        yield linked(pa.Table.from_batches(held))
+        yield from linked(pa.Table.from_batches(held))
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(start from the top, width) of ``budget + 1`` blocks of bits."""
-    cuts = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
+def _blocks(count: int) -> list[tuple[int, int]]:
+    """(start from the top, width) of ``count`` blocks of bits."""
+    cuts = [round(i * 64 / count) for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(fps: DataFrame, budget: int = BUDGET, forest: bool = False, subtrie_rows: int = SUBTRIE_ROWS) -> DataFrame:
+def _masks(bits: int, most: int) -> list[int]:
+    return [m for m in range(1 << bits) if m.bit_count() <= most]
+
+
+def links(fps: DataFrame, budget: int = BUDGET, forest: bool = False, subtrie_rows: int = SUBTRIE_ROWS, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints ``fp`` within the budget; with ``forest`` a spanning forest of them.
 
-    ``fps`` holds each fingerprint once. A pair may come once for every leading block on which it agrees.
+    ``fps`` holds each fingerprint once. A pair may come once for every leading block on which it agrees. With
+    ``similarity`` the column ``sketch`` must bear a pair out.
     """
+    cut = _blocks(blocks or budget + 1)
+    lead = budget // len(cut)
+    keep = ["fp"] + ["sketch"] * (similarity is not None)
+    # Without differing bits in the leading block the work starts below it, else at the depth where nodes are small enough.
+    start_depth = min(12, max(1, (fps.count() // max(1, subtrie_rows // 2)).bit_length())) if lead else 0
     parts = []
-    for k, (start, width) in enumerate(_blocks(budget)):
+    for k, (start, width) in enumerate(cut):
+        depth = start_depth or width
         r = F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start)) if start else F.col("fp")
-        node = F.shiftrightunsigned(r, 64 - width)
-        parts.append(F.struct(F.lit(k).alias("k"), F.lit(width).alias("depth"), node.alias("a"), node.alias("b"), r.alias("r")))
-    rows = fps.select("fp", F.explode(F.array(*parts)).alias("x")).select("x.*", "fp")
+        node = F.shiftrightunsigned(r, 64 - depth)
+        for m in _masks(depth, lead) if lead else [0]:
+            other = node.bitwiseXOR(F.lit(m).cast("long"))
+            parts.append(F.struct(F.lit(k).alias("k"), F.lit(depth).alias("depth"), F.least(node, other).alias("a"), F.greatest(node, other).alias("b"), r.alias("r")))
+    rows = fps.select(*keep, F.explode(F.array(*parts)).alias("x")).select("x.*", *keep)
     node_pair = ["k", "depth", "a", "b"]
-    masks = [m for m in range(1 << SPLIT_BITS) if bin(m).count("1") <= budget]
+    width_of = F.element_at(F.array(*(F.lit(w) for _, w in cut)), F.col("k") + 1)
     done = None
     while True:
         per = rows.groupBy(*node_pair).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         # Nodes of one fingerprint have no pairs and fall away; the others say whether they must be divided.
         per = materialize(per.select(*node_pair, (F.col("n") > subtrie_rows).alias("big")), "simhash-nodes")
-        rows = materialize(rows.join(per, node_pair), "simhash-rows")
+        rows = rows.join(per, node_pair)
+        rows = materialize(rows, "simhash-rows") if per.filter("big").count() else rows  # else one pass is all there is
         fine = rows.filter(~F.col("big") | (F.col("depth") + SPLIT_BITS > 63)).drop("big")
         done = fine if done is None else done.unionByName(fine)
-        big = rows.filter(F.col("big") & (F.col("depth") + SPLIT_BITS <= 63)).drop("big")
-        if big.isEmpty():
+        if per.filter(F.col("big") & (F.col("depth") + SPLIT_BITS <= 63)).isEmpty():
             break
+        big = rows.filter(F.col("big") & (F.col("depth") + SPLIT_BITS <= 63)).drop("big")
         deeper = F.call_function("shiftrightunsigned", F.col("r"), (F.lit(64 - SPLIT_BITS) - F.col("depth")).cast("int"))
         partner = F.when(F.call_function("shiftrightunsigned", F.col("r"), (F.lit(64) - F.col("depth")).cast("int")) == F.col("a"), F.col("b")).otherwise(F.col("a"))
         low = deeper.bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
         spent = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-        mask = F.explode(F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.bit_count(m) + spent <= budget))
-        big = big.select("k", "depth", "a", "b", "r", "fp", deeper.alias("_own"), partner.alias("_p"), low.alias("_low"), mask.alias("_m"))
+        limit = F.when(F.col("depth") + SPLIT_BITS <= width_of, lead).otherwise(budget)
+        mask = F.explode(F.filter(F.array(*(F.lit(m).cast("long") for m in _masks(SPLIT_BITS, budget))), lambda m: F.bit_count(m) + spent <= limit))
+        big = big.select("k", "depth", "a", "b", "r", *keep, deeper.alias("_own"), partner.alias("_p"), low.alias("_low"), mask.alias("_m"))
         other = F.shiftleft("_p", SPLIT_BITS).bitwiseOR(F.col("_low").bitwiseXOR(F.col("_m")))
-        rows = big.select("k", (F.col("depth") + SPLIT_BITS).alias("depth"), F.least("_own", other).alias("a"), F.greatest("_own", other).alias("b"), "r", "fp")
+        rows = big.select("k", (F.col("depth") + SPLIT_BITS).alias("depth"), F.least("_own", other).alias("a"), F.greatest("_own", other).alias("b"), "r", *keep)
     placed = done.repartition(*node_pair).sortWithinPartitions(*node_pair, F.col("r").bitwiseXOR(F.lit(-(1 << 63))))
-    return placed.mapInArrow(lambda it: _links_in(it, budget, forest), "u long, v long")
+    widths = [w for _, w in cut]
+    return placed.mapInArrow(lambda it: _links_in(it, budget, lead, widths, similarity, forest), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,11 +337,12 @@ def components(edges: DataFrame) -> DataFrame:
         now = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.withColumnRenamed("m", "v")).distinct()
 
 
-def cluster(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+def cluster(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row a document."""
-    rows = materialize(fingerprints(docs, words), "simhash-fp")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    label = components(links(classes.select("fp"), budget, forest=True))
+    near = similarity is not None
+    rows = materialize(fingerprints(docs, words, near), "simhash-fp")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), *([F.min("sketch").alias("sketch")] if near else [])), "simhash-classes")
+    label = components(links(classes.drop("first"), budget, True, NEAR_ROWS if near else SUBTRIE_ROWS, blocks, similarity))
     named = classes.join(label, classes.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = materialize(named, "simhash-labels")
     ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -258,14 +351,14 @@ def cluster(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFr
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component, the row with the smallest doc_id.
 
     Rows that repeat a doc_id count once; of different texts under one doc_id the smallest text hash stays. Rows without
     a doc_id stay only where a component has no other.
     """
-    found = cluster(docs, words, budget)
+    found = cluster(docs, words, budget, blocks, similarity)
     firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_cd_id")).distinct()
     kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_cd_id")), "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_cd_n", F.row_number().over(one)).filter("_cd_n = 1").drop("_cd_n")
+    return kept.withColumn("_cd_n", F.row_number().over(one)).filter("_cd_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

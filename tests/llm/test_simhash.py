@@ -42,7 +42,8 @@ def clustered(rng, n):
 def test_trie_pairs(budget):
     rng = np.random.default_rng(budget)
     v = np.unique(np.array(clustered(rng, 300) + [0, 1, 3, (1 << 64) - 1], np.uint64))
-    i, j = simhash.trie_pairs(v, np.array([[0, len(v), 0, len(v), 0, 63]]), budget)
+    found = list(simhash.trie_pairs(v, np.array([[0, len(v), 0, len(v), 0, 63, 0]]), budget))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     assert len(i) == len({*zip(i.tolist(), j.tolist(), strict=True)})
     assert {(int(v[a]), int(v[b])) for a, b in zip(i, j, strict=True)} == near(v, budget)
 
@@ -55,6 +56,36 @@ def test_links_also_when_divided(spark, rows):
     assert got == near(v)
 
 
+@pytest.mark.parametrize(("rows", "budget", "blocks"), [(100_000, 10, 3), (40, 5, 2), (10, 4, 5)])
+def test_links_with_bits_to_spare_in_the_leading_block(spark, rows, budget, blocks):
+    v = clustered(np.random.default_rng(3), 300)
+    d = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "fp long")
+    got = {tuple(sorted((r.u % (1 << 64), r.v % (1 << 64)))) for r in simhash.links(d, budget, subtrie_rows=rows, blocks=blocks).collect()}
+    assert got == near(v, budget)
+
+
+def test_near_copies_by_similarity(spark):
+    """Copies with a few words changed are found, texts that share a third of their words are not."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, group = [], {}
+    for g in range(40):
+        base = rng.choice(vocabulary, 400).tolist()
+        for c in range(3):
+            text = list(base)
+            for at in rng.choice(400, 2 * c, replace=False):
+                text[at] = "changed"
+            rows.append((10 * g + c, " ".join(text)))
+            group[10 * g + c] = 10 * g
+        rows.append((10 * g + 9, " ".join(base[:140] + rng.choice(vocabulary, 260).tolist())))
+        group[10 * g + 9] = 10 * g + 9
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = simhash.cluster(d, budget=simhash.NEAR_BUDGET, blocks=simhash.NEAR_BLOCKS, similarity=simhash.SIMILARITY)
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert sum(got[i] == group[i] for i in group) >= 0.98 * len(group)
+    assert all(got[i] in (group[i], i) for i in group)
+
+
 def classes(pairs, nodes):
     up = {n: n for n in nodes}
 
