@@ -67,7 +67,7 @@ def absent(value: Column, reasons: Sequence[tuple[str, Column]]) -> tuple[Column
 
 
 def basename(path: Column, sep: str = "/") -> Column:
-    return F.element_at(F.split(path, sep), -1)
+    return F.substring_index(path, sep, -1)
 
 
 def filetime(value: Column) -> Column:

@@ -693,3 +693,60 @@ for _old, _new in {
     "unhooked_system_calls.unhooked_system_calls": "malware.unhooked_system_calls.UnhookedSystemCalls",
 }.items():
     alias(f"windows.{_old}", f"windows.{_new}")
+
+
+# --- system calls outside the system's own libraries --------------------------------------------------------------
+
+schemas(
+    win_pe_files="pid long, process string, base long, kernel boolean, bytes binary",
+    win_tasks="ord long, task_name string, principal_id string, display_name string, enabled boolean, created timestamp, last_run timestamp, last_success timestamp, triggers array<struct<type:string,description:string>>, actions array<struct<type:string,action:string,arguments:string,context:string,directory:string>>, key_name string",
+)
+
+#: x64 stubs: ``mov r10, rcx`` and ``mov eax, number`` in either order, then within 24 bytes a system call or a jump to
+#: one (relative, through memory, or through a register). Fixed values.
+STUB = rb"(?:\x4c\x8b\xd1|\x49\x89\xca)(?:.{0,8})\xb8(..)\x00\x00|\xb8(..)\x00\x00(?:.{0,8})(?:\x4c\x8b\xd1|\x49\x89\xca)"
+DIRECT, INDIRECT = rb"(?:" + STUB + rb").{0,24}\x0f\x05", rb"(?:" + STUB + rb")(?:(?!\x0f\x05).){0,24}(?:\xe9|\xff\x25|\xff[\xe0-\xe7]|\x41\xff[\xe0-\xe7])"
+SYSTEM_LIBRARIES = ("ntdll.dll", "win32u.dll")
+
+
+def _stubs(s: Session, pattern: bytes) -> DataFrame:
+    """Code that sets up a system call by itself in executable regions of other files. Judged by byte patterns."""
+    from .generic import text_hits
+
+    name = F.lower(F.coalesce(scalars.basename(F.col("file"), "\\"), F.lit("")))
+    code = s.table("win_vads").filter(F.col("protection").contains("EXECUTE") & ~name.isin(*SYSTEM_LIBRARIES))
+    span = F.concat_ws("-", F.hex("start"), F.hex("end"))
+    hits = text_hits(code.withColumn("range", span), ["image", "process", "pid", "range"], "start", "head", pattern, 64)
+    return hits.select("image", "process", "pid", "range", F.col("offset").alias("address"), F.col("hex").alias("code"))
+
+
+@operator("windows.malware.direct_system_calls.DirectSystemCalls")
+def direct_system_calls(s):
+    return _stubs(s, DIRECT)
+
+
+@operator("windows.malware.indirect_system_calls.IndirectSystemCalls")
+def indirect_system_calls(s):
+    return _stubs(s, INDIRECT)
+
+
+@operator("windows.pedump.PEDump")
+def pedump(s, base=None, pid=None, kernel_module=False):
+    """Executable images at a base, of processes or of the kernel, with their bytes; write them with any file sink."""
+    d = only(s.table("win_pe_files").filter(F.coalesce("kernel", F.lit(False)) == F.lit(kernel_module)), "base", base)
+    return only(d, "pid", pid).dropDuplicates(["image", "pid", "base"]).drop("kernel")
+
+
+@operator("windows.registry.scheduled_tasks.ScheduledTasks")
+def scheduled_tasks(s):
+    """A row for each trigger and action of a task; a task without either keeps one row."""
+    d = s.table("win_tasks").withColumn("_t", F.explode_outer("triggers")).withColumn("_a", F.explode_outer("actions"))
+    return d.select(
+        "image", "task_name", "principal_id", "display_name", "enabled", F.col("created").alias("creation_time"), F.col("last_run").alias("last_run_time"), F.col("last_success").alias("last_successful_run_time"), F.col("_t.type").alias("trigger_type"), F.col("_t.description").alias("trigger_description"),
+        F.col("_a.type").alias("action_type"), F.col("_a.action").alias("action"), F.col("_a.arguments").alias("action_arguments"), F.col("_a.context").alias("action_context"), F.col("_a.directory").alias("working_directory"), "key_name",
+    )
+
+
+alias("windows.direct_system_calls.DirectSystemCalls", "windows.malware.direct_system_calls.DirectSystemCalls")
+alias("windows.indirect_system_calls.IndirectSystemCalls", "windows.malware.indirect_system_calls.IndirectSystemCalls")
+alias("windows.scheduled_tasks.ScheduledTasks", "windows.registry.scheduled_tasks.ScheduledTasks")

@@ -190,3 +190,23 @@ def test_generic_scans(spark):
     assert s.run("frameworkinfo.FrameworkInfo").count() == len(OPERATORS) + len(ALIASES)
     hits = s.run("yarascan.YaraScan", rules='rule r { strings: $v = "version" $n = "absent" condition: any of them and not $n }').collect()
     assert [(r.offset, r.component) for r in hits] == [(106, "$v")]
+
+
+def test_system_call_stubs(spark):
+    direct = b"\x90\x4c\x8b\xd1\xb8\x18\x00\x00\x00\x0f\x05\xc3" + b"\x90" * 40
+    indirect = b"\x4c\x8b\xd1\xb8\x18\x00\x00\x00\x41\xff\xe3" + b"\x90" * 40
+    area = lambda pid, head, file=None: {"pid": pid, "process": "p", "start": 4096 * pid, "end": 4096 * pid + 4095, "protection": "PAGE_EXECUTE_READ", "head": head, "file": file}
+    s = session(spark, win_vads=[area(1, direct), area(2, indirect), area(3, direct, r"\Windows\System32\ntdll.dll")])
+    assert [(r.pid, r.address) for r in s.run("windows.direct_system_calls.DirectSystemCalls").collect()] == [(1, 4097)]
+    assert [(r.pid, r.address) for r in s.run("windows.indirect_system_calls.IndirectSystemCalls").collect()] == [(2, 8192)]
+
+
+def test_peb_masquerade(spark):
+    p = lambda pid, audit, peb, most, now: {"source": "pslist", "ord": pid, "offset": pid, "pid": pid, "name": "x", "audit": audit, "peb_path": peb, "peb_cmd_max": most, "peb_cmd_len": now}
+    s = session(spark, win_processes=[p(1, r"\Device\x\a.exe", r"C:\A.EXE", 5, 4), p(2, r"\Device\x\a.exe", r"C:\svchost.exe", 5, 9)])
+    assert {r.pid: (r.path_spoofed, r.cmdline_spoofed) for r in s.run("windows.malware.pebmasquerade.PebMasquerade").collect()} == {1: (False, False), 2: (True, True)}
+
+
+def test_scheduled_tasks(spark):
+    s = session(spark, win_tasks=[{"task_name": "t", "triggers": [("Logon", "any user")], "actions": [("Exec", "a.exe", "-x", None, None), ("Exec", "b.exe", None, None, None)]}, {"task_name": "bare"}])
+    assert sorted((r.task_name, r.trigger_type, r.action) for r in s.run("windows.registry.scheduled_tasks.ScheduledTasks").collect() if r.action) == [("t", "Logon", "a.exe"), ("t", "Logon", "b.exe")]
