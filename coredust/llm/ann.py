@@ -11,7 +11,8 @@ indexed. Queries come in blocks of about ``QUERY_BLOCK``, each scanned against a
 its size is bounded however many queries there are.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
-no part; rows that repeat a vec_id are candidates each, and none is a neighbour of a query with that id; equal scores go
+no part; rows that repeat a vec_id are candidates each, none is a neighbour of a query with that id, and the query is the
+least of their vectors; equal scores go
 to the smaller vec_id; with fewer candidates than asked for, all are returned; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -183,12 +184,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, rerank: int = RERAN
     spark = vectors.sparkSession
     index, book = build_index(vectors.filter(F.col("vec_id").isNotNull()))
     asked = index.filter(is_query).select("vec_id", "embedding")
-    n = asked.count() if book is not None else 0
+    n = asked.select("vec_id").distinct().count() if book is not None else 0
     blocks = -(-n // block)
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
     for b in range(blocks):
         # About ``block`` queries by hash; the count above bounds what is sent.
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).orderBy("vec_id").toArrow()
+        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").toArrow()
         ids, qs = mine.column(0).to_numpy(), _matrix(mine.column(1).combine_chunks(), np.float64)
         sent = spark.sparkContext.broadcast((book, ids, qs))
         part = index.mapInArrow(lambda it, sent=sent: _scan(it, *sent.value, k, rerank), "query_id long, vec_id long, score double")

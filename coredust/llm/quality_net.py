@@ -142,9 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Net
     # At most max_docs ids and labels: that bound makes the broadcast safe at any scale.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(cut, f"doc_id {kind}, quality int, chunks array<binary>").toArrow().to_pylist()
-    got.sort(key=lambda r: (str(r["doc_id"]), r["chunks"]))
-    return fit([r["chunks"] for r in got[: 2 * max_docs]], [r["quality"] for r in got[: 2 * max_docs]])
+    cuts = rows.mapInArrow(cut, f"doc_id {kind}, quality int, chunks array<binary>")
+    # One row a doc_id, however often it is repeated, so the driver never gets more than max_docs rows.
+    got = cuts.groupBy("doc_id").agg(F.min(F.struct("quality", "chunks")).alias("x")).select("doc_id", "x.*").toArrow().to_pylist()
+    got.sort(key=lambda r: str(r["doc_id"]))
+    return fit([r["chunks"] for r in got], [r["quality"] for r in got])
 
 
 def score(docs: DataFrame, net: Net, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
