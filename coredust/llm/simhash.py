@@ -358,7 +358,9 @@ def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, blocks
     a doc_id stay only where a component has no other.
     """
     found = cluster(docs, words, budget, blocks, similarity)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_cd_id")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_cd_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    # One key that is never null for the join and the window, so texts are shuffled once.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_cd_key")).distinct()
+    kept = docs.withColumn("_cd_key", key).join(firsts, "_cd_key", "left_semi")
+    one = Window.partitionBy("_cd_key").orderBy(F.xxhash64("text"))
     return kept.withColumn("_cd_n", F.row_number().over(one)).filter("_cd_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
