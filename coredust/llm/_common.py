@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch at most: texts are long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the batches that go to Python workers small, so that an executor's memory does not depend on the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
     app = spark.sparkContext.applicationId

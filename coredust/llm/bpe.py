@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 HEAP_BYTES = 64
 #: Encoded words that a worker keeps; beyond that the table starts anew, which changes no result.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 NO_RANK = 1 << 60
 #: No letter or digit before this is newer than Python's Unicode tables.
 HIGH = re.compile("[\u0370-\U0010ffff]")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 from . import ann, bpe, lm_score, mixing, quality_net, quality_rules, sharding, simhash, url_filter, warc
-from ._common import new_path
+from ._common import bound_batches, new_path
 
 WORD_BPE = "word_bpe_49k.json"
 RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/")]
@@ -25,6 +25,7 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

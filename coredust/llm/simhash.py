@@ -25,6 +25,7 @@ unless all are null; an empty table gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ SUBTRIE_ROWS, SPLIT_BITS = 100_000, 6
 _CHUNK = 1 << 16
 #: For near-duplicates by similarity: words of a shingle, least similarity, bits in which the three-word fingerprints of
 #: such texts may differ, and blocks of the pigeonhole.
-NEAR_WORDS, SIMILARITY, NEAR_BUDGET, NEAR_BLOCKS, NEAR_ROWS = 5, 0.8, 11, 3, 400_000
+NEAR_WORDS, SIMILARITY, NEAR_BUDGET, NEAR_BLOCKS, NEAR_ROWS = 5, 0.8, 11, 3, 100_000
 BINS = 256
 #: Node pairs advanced at once, and links held before they are reduced to a forest.
 _PIECE, _HELD = 1 << 16, 1 << 20
@@ -158,11 +159,11 @@ def trie_pairs(values: np.ndarray, nodes: np.ndarray, budget: int, lead: int | N
 
 
 def _rectangles(lo1, size1, lo2, size2, same) -> Iterator[tuple[np.ndarray, ...]]:
-    """All cells of rectangles of indices, about ``_PIECE * 16`` at a time: (row start, row, column start, column, same)."""
+    """All cells of rectangles of indices, about ``_PIECE * 4`` at a time: (row start, row, column start, column, same)."""
     cells = size1 * size2
     if not len(cells):
         return
-    big = np.cumsum(cells) // (_PIECE * 16)
+    big = np.cumsum(cells) // (_PIECE * 4)
     for part in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(big)) + 1):
         c = cells[part]
         if len(part) == 1 and c[0] > _PIECE * 64:  # equal values below the last bit: row by row
@@ -196,7 +197,10 @@ def _links_in(batches: Iterator[pa.RecordBatch], budget: int, lead: int, widths:
 
     def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
         k, depth, a, b, r, fp = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("k", "depth", "a", "b", "r", "fp"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS) if least is not None else None
+        sketches = None
+        if least is not None:
+            flat = table.column("sketch").combine_chunks().cast(pa.binary(BINS))
+            sketches = np.frombuffer(flat.buffers()[1], np.uint8)[flat.offset * BINS :].reshape(-1, BINS)
         values = r.view(np.uint64)
         key = np.stack((k, depth, a, b), 1)
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
@@ -236,21 +240,25 @@ def _links_in(batches: Iterator[pa.RecordBatch], budget: int, lead: int, widths:
         return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["u", "v"])
 
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, looked = 0, 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < _CHUNK:
+        if rows < _CHUNK or rows < looked + _CHUNK // 4:
             continue
+        looked = rows
         table = pa.Table.from_batches(held)
         # The last node pair may go on in the next batch.
-        k = np.stack([table.column(c).to_numpy() for c in ("k", "depth", "a", "b")], 1)
-        changes = np.flatnonzero((k[1:] != k[:-1]).any(1))
+        changes = np.zeros(len(table) - 1, bool)
+        for c in ("k", "depth", "a", "b"):
+            x = table.column(c).to_numpy()
+            changes |= x[1:] != x[:-1]
+        changes = np.flatnonzero(changes)
         if not len(changes):
             continue
         cut = int(changes[-1]) + 1
         yield from linked(table.slice(0, cut))
-        held, rows = table.slice(cut).to_batches(), len(table) - cut
+        held, rows, looked = table.slice(cut).to_batches(), len(table) - cut, 0
     if rows:
         yield from linked(pa.Table.from_batches(held))
 
@@ -275,7 +283,7 @@ def links(fps: DataFrame, budget: int = BUDGET, forest: bool = False, subtrie_ro
     lead = budget // len(cut)
     keep = ["fp"] + ["sketch"] * (similarity is not None)
     # Without differing bits in the leading block the work starts below it, else at the depth where nodes are small enough.
-    start_depth = min(12, max(1, (fps.count() // max(1, subtrie_rows // 2)).bit_length())) if lead else 0
+    start_depth = min(12, max(1, math.ceil(math.log2(max(1, fps.count() / subtrie_rows))))) if lead else 0
     parts = []
     for k, (start, width) in enumerate(cut):
         depth = start_depth or width
@@ -291,7 +299,7 @@ def links(fps: DataFrame, budget: int = BUDGET, forest: bool = False, subtrie_ro
     while True:
         per = rows.groupBy(*node_pair).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         # Nodes of one fingerprint have no pairs and fall away; the others say whether they must be divided.
-        per = materialize(per.select(*node_pair, (F.col("n") > subtrie_rows).alias("big")), "simhash-nodes")
+        per = materialize(per.select(*node_pair, (F.col("n") > 2 * subtrie_rows).alias("big")), "simhash-nodes")
         rows = rows.join(per, node_pair)
         rows = materialize(rows, "simhash-rows") if per.filter("big").count() else rows  # else one pass is all there is
         fine = rows.filter(~F.col("big") | (F.col("depth") + SPLIT_BITS > 63)).drop("big")

@@ -10,37 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coredust.functions.ship import ship
 from coredust.llm import bpe, mixing, quality_net, quality_rules, simhash
-from coredust.llm._common import materialize
+from coredust.llm._common import bound_batches, materialize
 from coredust.llm.queries import tokenizer_path
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    bound_batches(spark)
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or the outlier estimate reject."""
-    ship(spark)
+    _prepare(spark)
     return quality_rules.keep_good(docs)
 
 
 def quality_net_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier, trained on the labelled rows of its own input, rejects."""
-    ship(spark)
+    _prepare(spark)
     return quality_net.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each near-duplicate group: five-word similarity 0.8 or more."""
-    ship(spark)
+    _prepare(spark)
     return simhash.keep_first(docs, budget=simhash.NEAR_BUDGET, blocks=simhash.NEAR_BLOCKS, similarity=simhash.SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks, in training order; those beyond the target go."""
-    ship(spark)
+    _prepare(spark)
     return mixing.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the encoded and decoded texts, a row for each pass over a document."""
-    ship(spark)
+    _prepare(spark)
     return bpe.round_trip_digests(docs, tokenizer_path())
 
 
