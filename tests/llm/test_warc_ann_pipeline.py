@@ -143,3 +143,20 @@ def test_all_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert set(queries.queries()) | {"pipeline"} <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+ODD = [(1, None, None, None, None), (None, "a b c d e f g h i j k l", "en", "s", 1), (2, "", "en", None, 0), (2, "one two three four five six seven eight nine ten eleven", None, "s", 2), (2, "one two three four five six seven eight nine ten eleven", None, "s", 2), (3, "word " * 40_000, "fr", "t", 3)]
+
+
+def test_stages_with_odd_rows_and_none(spark, folder):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame(ODD, schema).selectExpr("*", "'x' AS size", "1 AS kept", "2 AS score", "3 AS fp", "4 AS _bucket", "5 AS passes")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, folder)
+            rows = out.collect()
+            assert out.columns == (docs.columns if name != "bpe" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]), name
+            assert rows or docs is not odd, name
+            if name == "simhash_near_dedup" and docs is odd:
+                # the null text and the empty one are one group, as are the repeated rows of doc_id 2
+                assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "None"]
