@@ -42,15 +42,36 @@ def top_and_other(counts: DataFrame, by: str, n: str, keep: int) -> DataFrame:
     return ranked.groupBy(F.when(F.col("_r") <= keep, F.col(by)).otherwise("other").alias(by)).agg(F.sum(n).alias(n))
 
 
+def nth_value(df: DataFrame, value: str, k: int, bins: int = 2048) -> float | None:
+    """The exact value at index ``k`` of the sorted column, null for an empty one.
+
+    Each round counts the values of a range in ``bins`` bins and goes on in the bin that holds the index, so the driver
+    gets at most ``bins`` rows a round and no task sorts the column.
+    """
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    lo, hi = d.agg(F.min(value), F.max(value)).first()
+    while lo is not None and lo != hi:
+        b = F.least(F.floor((F.col(value) - F.lit(lo)) * bins / (F.lit(hi) - F.lit(lo))), F.lit(bins - 1))
+        rows = d.filter(F.col(value).between(lo, hi)).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+        for r in sorted(rows, key=lambda r: r["b"]):
+            if k < r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            k -= r["n"]
+        else:
+            return None
+        d = d.filter(F.col(value).between(lo, hi))
+    return lo
+
+
 def focus(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995, share: float = 0.2) -> DataFrame:
     """(lo, hi, focused): the span between two exact quantiles if it is under ``share`` of the full span, else the full one.
 
-    A quantile q is the value at index int((n - 1) * q). Ranks come from counts per value, so rows are summed before the
-    shuffle and only distinct values are ordered.
+    A quantile q is the value at index int((n - 1) * q).
     """
-    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cum = per.withColumn("cum", F.sum("c").over(Window.orderBy("v"))).withColumn("n", F.sum("c").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    at = lambda q: F.min(F.when(F.col("cum") > F.floor((F.col("n") - 1) * q), F.col("v")))
-    s = cum.agg(F.min("v").alias("a"), F.max("v").alias("z"), at(low).alias("l"), at(high).alias("h"))
-    narrow = (F.col("h") - F.col("l")) < (F.col("z") - F.col("a")) * share
-    return s.select(F.when(narrow, F.col("l")).otherwise(F.col("a")).alias("lo"), F.when(narrow, F.col("h")).otherwise(F.col("z")).alias("hi"), narrow.alias("focused"))
+    n, a, z = df.filter(F.col(value).isNotNull()).agg(F.count(value), F.min(value), F.max(value)).first()
+    ends = [nth_value(df, value, int((n - 1) * q)) for q in (low, high)] if n else [None, None]
+    narrow = n > 0 and ends[1] - ends[0] < (z - a) * share
+    lo, hi = ends if narrow else (a, z)
+    kind = df.schema[value].dataType
+    return df.sparkSession.range(1).select(F.lit(lo).cast(kind).alias("lo"), F.lit(hi).cast(kind).alias("hi"), F.lit(bool(narrow)).alias("focused"))

@@ -47,3 +47,16 @@ def test_same_as_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_nth_value_is_exact(spark):
+    import random
+
+    from coredust.operators import timeline
+
+    rng = random.Random(3)
+    values = [rng.choice([rng.random(), rng.random() * 1e9, 5.0, -rng.random() * 1e-9]) for _ in range(500)]
+    d = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for k in (0, 1, 250, 499):
+        assert timeline.nth_value(d, "v", k, bins=16) == sorted(values)[k]
+    assert timeline.nth_value(d.limit(0), "v", 0) is None and timeline.focus(d.limit(0), "v").count() == 1
