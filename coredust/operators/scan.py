@@ -60,17 +60,34 @@ def rule(df: DataFrame, text: str, strings: Mapping[str, str], at_least: int) ->
     return d.filter(sum((F.when(F.col(f"n_{n}") > 0, 1).otherwise(0) for n in strings), F.lit(0)) >= at_least)
 
 
-def owners(passages: DataFrame, passage: str, docs: DataFrame, text: str, seed: int = 24) -> DataFrame:
+SEED_WORDS = 3
+
+
+def owners(passages: DataFrame, passage: str, docs: DataFrame, text: str) -> DataFrame:
     """Pairs of passages and the texts that contain them whole.
 
-    The first ``seed`` characters of every passage are looked up in a fixed-length window index of the texts, as an
-    equality join; only those candidates are compared in full. Passages shorter than the seed are not found.
+    A text that contains a passage has the passage's second to fourth word as whole words in a row. Those three are
+    looked up among the word triples of the texts, as an equality join on their hash; only candidates are compared in
+    full. Passages of fewer than five words are looked up by their first characters instead.
     """
-    p = passages.filter(F.length(passage) >= seed).withColumn("_seed", F.xxhash64(F.substring(passage, 1, seed)))
-    chars = F.split(F.col(text), "")
-    heads = docs.filter(F.length(text) >= seed).withColumn("_c", chars)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_c") - seed + 1), lambda i: F.xxhash64(F.array_join(F.slice("_c", i, F.lit(seed)), ""))))
-    return p.join(heads.withColumn("_seed", F.explode(grams)).drop("_c"), "_seed").filter(F.contains(F.col(text), F.col(passage))).drop("_seed")
+    space = r"[\x20\x09-\x0D]+"
+    p = passages.withColumn("_w", F.split(F.trim(passage), space))
+    triple = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(SEED_WORDS)))
+    long = p.filter(F.size("_w") >= SEED_WORDS + 2).withColumn("_seed", triple(F.col("_w"), F.lit(1))).drop("_w")
+    d = docs.withColumn("_t", F.split(text, space)).filter(F.size("_t") >= SEED_WORDS)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_t") - SEED_WORDS), lambda i: triple(F.col("_t"), i)))
+    found = long.join(d.withColumn("_seed", F.explode(grams)).drop("_t"), "_seed").filter(F.contains(F.col(text), F.col(passage))).drop("_seed")
+    short = p.filter(F.size("_w") < SEED_WORDS + 2).drop("_w")
+
+    def pieces(n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_c") - n), lambda i: F.concat(*(F.get("_c", i + k) for k in range(n)))))
+
+    lengths = [r[0] for r in short.filter(F.length(passage) > 0).select(F.least(F.length(passage), F.lit(8))).distinct().collect()]
+    for n in sorted(lengths):  # at most eight lengths
+        heads = short.filter(F.least(F.length(passage), F.lit(8)) == n).withColumn("_seed", F.substring(passage, 1, n))
+        chars = docs.filter(F.length(text) >= n).withColumn("_c", F.split(text, ""))
+        found = found.unionByName(heads.join(chars.withColumn("_seed", F.explode(pieces(n))).drop("_c"), "_seed").filter(F.contains(F.col(text), F.col(passage))).drop("_seed"))
+    return found
 
 
 def distinct_hits(hits: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -210,3 +210,13 @@ def test_peb_masquerade(spark):
 def test_scheduled_tasks(spark):
     s = session(spark, win_tasks=[{"task_name": "t", "triggers": [("Logon", "any user")], "actions": [("Exec", "a.exe", "-x", None, None), ("Exec", "b.exe", None, None, None)]}, {"task_name": "bare"}])
     assert sorted((r.task_name, r.trigger_type, r.action) for r in s.run("windows.registry.scheduled_tasks.ScheduledTasks").collect() if r.action) == [("t", "Logon", "a.exe"), ("t", "Logon", "b.exe")]
+
+
+def test_owners_of_long_and_short_passages(spark):
+    from coredust.operators import scan
+
+    texts = [(1, "xx alpha beta gamma delta epsilon yy"), (2, "zalpha beta gamma delta epsilonz"), (3, "alpha  beta gamma delta epsilon"), (4, "a needle here"), (5, ""), (6, None)]
+    parts = [(10, "alpha beta gamma delta epsilon"), (11, "needle"), (12, "dle h"), (13, ""), (14, "quite absent here now then"), (15, "ta")]
+    d, p = spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(parts, "item long, passage string")
+    got = sorted((r.item, r.doc) for r in scan.owners(p, "passage", d, "text").collect())
+    assert got == sorted((i, k) for i, x in parts if x for k, t in texts if t and x in t)
