@@ -19,7 +19,7 @@ fewer shingles than bins; its standard error is at most 0.025 for longer ones.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other; a text with
 fewer words than a shingle is hashed whole; repeated rows share a class; a null doc_id never becomes a component's id
-unless all are null; an empty table gives an empty result; extra columns are ignored by ``cluster`` and carried by
+unless all are null; of rows without a doc_id ``keep_first`` keeps one for each component of such rows; an empty table gives an empty result; extra columns are ignored by ``cluster`` and carried by
 ``keep_first``.
 """
 
@@ -362,13 +362,16 @@ def cluster(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, blocks: i
 def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, blocks: int | None = None, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component, the row with the smallest doc_id.
 
-    Rows that repeat a doc_id count once; of different texts under one doc_id the smallest text hash stays. Rows without
-    a doc_id stay only where a component has no other.
+    A row is known by its doc_id and text hash: rows equal in both count once, and different texts under one doc_id, or
+    without one, are judged each in its own component. Of different texts under the smallest doc_id of a component the
+    smallest text hash stays. A row without a doc_id stays only where its component has no other.
     """
-    found = cluster(docs, words, budget, blocks, similarity)
-    # One key that is never null for the join and the window, so texts are shuffled once.
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_cd_key")).distinct()
-    kept = docs.withColumn("_cd_key", key).join(firsts, "_cd_key", "left_semi")
-    one = Window.partitionBy("_cd_key").orderBy(F.xxhash64("text"))
+    hashed = F.xxhash64("text")
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), hashed.alias("hash"))
+    found = cluster(docs.select(row.alias("doc_id"), "text"), words, budget, blocks, similarity)
+    # Keys that are never null for the join and the window, so texts are shuffled once.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    firsts = found.filter("doc_id = component_id").select(key("doc_id.doc_id").alias("_cd_key"), F.col("doc_id.hash").alias("_cd_hash")).distinct()
+    kept = docs.withColumn("_cd_key", key("doc_id")).withColumn("_cd_hash", hashed).join(firsts, ["_cd_key", "_cd_hash"], "left_semi")
+    one = Window.partitionBy("_cd_key", "_cd_hash").orderBy("_cd_hash")
     return kept.withColumn("_cd_n", F.row_number().over(one)).filter("_cd_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

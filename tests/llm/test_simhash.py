@@ -120,6 +120,17 @@ def test_cluster_and_keep(spark):
     assert simhash.cluster(d.limit(0)).count() == 0
 
 
+def test_keep_first_by_row_not_by_doc_id(spark):
+    """Distinct texts with a null or repeated doc_id stay, one for each component; none is a copy of a row that stays."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnop"), 40)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0]), (None, texts[6]), (1, texts[6])]
+    rows += [(7, t) for t in texts[7:10]] + [(7, texts[7]), (8, texts[8]), (6, texts[9]), (9, texts[10])]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, t) for t in texts[:6]] + [(1, texts[6]), (7, texts[7]), (7, texts[8]), (6, texts[9]), (9, texts[10])]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_cluster_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = [" ".join(rng.choice(list("abcdefghij"), 40)) for _ in range(20)]
