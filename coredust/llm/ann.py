@@ -3,8 +3,10 @@
 Vectors are product-quantised: pairs of dimensions, sixteen centres each (four bits). The loss weighs the part of the
 residual parallel to the vector more than the rest, as only that part biases large inner products; codes are chosen by
 coordinate descent and centres by the matching weighted least squares. Two codes share a byte. A query's products with
-all centres make its tables; scanning sums one table entry a byte, and the best of every partition are reranked with the
-exact inner product in double precision, so the scores are exact.
+all centres make its tables; scanning sums one table entry a byte. The best ``RERANK`` of a partition are scored with the
+exact inner product in double precision; the least of their ``k`` best scores is a floor. A scanned score is off by at
+most the query's norm times the row's quantisation error, so every row whose bound reaches the floor is scored as well:
+no true neighbour is cut, and the result depends neither on the partitions nor on ``RERANK``.
 
 The codebook is fitted on at most ``TRAIN_ROWS`` vectors (those with the smallest hash of vec_id); every vector is
 indexed. Queries come in blocks of about ``QUERY_BLOCK``, each scanned against all rows; a block is what is broadcast, so
@@ -35,10 +37,12 @@ TRAIN_ROWS = 20_000
 #: Cosine from which inner products matter; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
 ROUNDS, SWEEPS = 6, 2
-#: Candidates of each partition that are reranked, and rows that a partition of the index holds at least.
+#: Candidates of each partition that are scored exactly for a floor, and rows that a partition of the index holds at most, about.
 RERANK = 160
 PARTITION_ROWS = 250_000
 QUERY_BLOCK = 2048
+#: Share of the product of norms by which single precision may blur a scanned score, and rows scored exactly at once.
+BLUR, PIECE = 1e-5, 1 << 14
 SEED = 11
 
 
@@ -154,8 +158,22 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, Codebook | None]:
     return materialize(rows.repartition(parts).mapInArrow(encode, f"vec_id {id_kind}, embedding {kind}, code binary"), "ann-index"), book
 
 
+def _errors(book: Codebook, exact: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """By how much a scanned score of a query of norm one can be off, for every row: the norm of its residual, and blur."""
+    m = len(book.centres)
+    codes = np.stack((packed >> 4, packed & 15), 2).reshape(len(packed), -1)[:, :m]
+    out = np.empty(len(exact))
+    for at in range(0, len(exact), PIECE):
+        x, c = exact[at : at + PIECE], codes[at : at + PIECE]
+        rec = book.centres[np.arange(m), c].reshape(len(c), -1).astype(np.float64)
+        padded = np.pad(x, ((0, 0), (0, rec.shape[1] - x.shape[1])))
+        blur = BLUR * (np.linalg.norm(x, axis=1) + np.sqrt((rec**2).reshape(len(c), m, SUB).sum(2)).sum(1))
+        out[at : at + PIECE] = np.linalg.norm(padded - rec, axis=1) + blur
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
-    """The exact ``k`` best of the ``rerank`` best scanned candidates of one partition, for every query of a block."""
+    """The exact ``k`` best of one partition for every query of a block; ``rerank`` candidates set the floor."""
     table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
     if table is None:
         return
@@ -164,17 +182,24 @@ def _scan(batches: Iterator[pa.RecordBatch], book: Codebook, ids: np.ndarray, qu
     exact = _matrix(table.column("embedding").combine_chunks(), np.float64)
     code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(table), -1)
     where = code.astype(np.intp) + np.arange(code.shape[1]) * 256
+    error, rerank = _errors(book, exact, code), max(rerank, k)
+
+    def scored(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        pieces = [(exact[rows[at : at + PIECE]] * query).sum(1) for at in range(0, len(rows), PIECE)]
+        return np.concatenate([np.zeros(0), *pieces])
+
     for qi in range(len(ids)):
         near = book.tables(queries[qi].astype(np.float32)).ravel().take(where).sum(1)
         near[vec_id == ids[qi]] = -np.inf
+        pick = np.arange(len(near))
         if len(near) > rerank:
-            edge = np.partition(near, len(near) - rerank)[len(near) - rerank]
-            above, ties = np.flatnonzero(near > edge), np.flatnonzero(near == edge)
-            pick = np.concatenate((above, ties[: rerank - len(above)]))
-        else:
-            pick = np.arange(len(near))
+            first = np.argpartition(near, len(near) - rerank)[len(near) - rerank :]
+            first = first[near[first] > -np.inf]
+            if len(first) >= k:
+                floor = np.partition(scored(first, queries[qi]), len(first) - k)[len(first) - k]
+                pick = np.flatnonzero(near + np.linalg.norm(queries[qi]) * error >= floor)
         pick = pick[near[pick] > -np.inf]
-        score = (exact[pick] * queries[qi]).sum(1)
+        score = scored(pick, queries[qi])
         best = np.lexsort((vec_id[pick], -score))[:k]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[qi])), pa.array(vec_id[pick][best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
 

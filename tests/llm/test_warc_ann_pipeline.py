@@ -1,6 +1,7 @@
 import gzip
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,24 @@ def test_recall_scores_and_blocks(spark):
         assert all((g.sort_values("rank").score.diff().dropna() <= 0).all() and sorted(g["rank"]) == list(range(1, 21)) for _, g in out.groupby("query_id"))
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_no_neighbour_is_cut_whatever_the_partitions(parts):
+    """Groups of near copies far larger than the candidates that set the floor, in one partition or several."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 25))
+    x = (centres[np.arange(6000) % 4] + 0.05 * rng.normal(size=(6000, 25))).astype(np.float32)
+    ids, want = np.arange(6000), brute(list(enumerate(x.astype(np.float64))))
+    book, asked = ann.fit(x[:2000]), np.arange(0, 6000, 300)
+    found = {int(q): [] for q in asked}
+    for p in range(parts):
+        mine = ids[ids % parts == p]
+        code = pa.array([c.tobytes() for c in book.packed(x[mine])], pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(mine), pa.array(x[mine].tolist(), pa.list_(pa.float32())), code], names=["vec_id", "embedding", "code"])
+        for out in ann._scan(iter([batch]), book, asked, x[asked].astype(np.float64), 20, 20):
+            found[out.column(0)[0].as_py()] += [(-s, v) for v, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
+    assert {q: [v for _, v in sorted(r)[:20]] for q, r in found.items()} == {q: want[q] for q in found}
+
+
 def test_unusable_vectors_ties_and_few(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 2.0]), (20, [1.0, 0.0, 2.0]), (5, [1.0, 0.0, 2.0]), (5, [1.0, 0.0, 2.0]), (6, None), (7, [0.0, 0.0, 0.0]), (8, [nan, 1.0, 1.0]), (9, [inf, 1.0, 1.0]), (10, [None, 1.0, 1.0]), (11, [1.0]), (40, []), (None, [1.0, 1.0, 1.0])]
