@@ -7,8 +7,9 @@ aggregation over (group, distance bucket): the buckets carry the moments, so nei
 the refit needs the rows of a group together, however large a group is. Rows beyond ``CUTOFF`` are rejected.
 
 Edge cases: a null or empty text has no words and fails the base rules; null lang and source form groups of their own;
-groups with fewer than ``MIN_GROUP`` fitting rows have no estimate and keep what the base rules keep; repeated rows
-weigh as often as they occur; an empty table gives an empty result; extra columns are ignored.
+groups with fewer than ``MIN_GROUP`` fitting rows are judged by the estimate over all fitting rows of their language, or of
+the whole table where the language has fewer as well, so every row that passes the base rules has a distance; repeated
+rows weigh as often as they occur; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,23 +72,25 @@ def features() -> dict[str, Column]:
     return {"length": F.log1p(F.col("n_words")), "word_len": per("word_chars", 1.0), "symbols": per("n_symbols", 100.0), "dup_lines": per("n_dup_lines", 100.0), "repeats": per("n_repeat_words", 100.0)}
 
 
+#: What an estimate is made for: level 0 is a language and source, 1 a language (null source), 2 the table (both null).
+KEY = ("level", "lang", "source")
 PAIRS = list(combinations_with_replacement(range(len(FEATURES)), 2))
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """(lang, source) -> mean m_i from medians and a diagonal covariance c_i_j from quartile ranges, by exact histograms."""
-    long = rows.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.floor(F.col(n) / BIN).alias("b")) for i, n in enumerate(FEATURES)))).alias("x")).select("lang", "source", "x.*")
-    counts = long.groupBy("lang", "source", "f", "b").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy("lang", "source", "f")
+    """KEY -> mean m_i from medians and a diagonal covariance c_i_j from quartile ranges, by exact histograms."""
+    long = rows.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.floor(F.col(n) / BIN).alias("b")) for i, n in enumerate(FEATURES)))).alias("x")).select(*KEY, "x.*")
+    counts = long.groupBy(*KEY, "f", "b").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*KEY, "f")
     counts = counts.withColumn("cum", F.sum("n").over(whole.orderBy("b"))).withColumn("all", F.sum("n").over(whole))
     at = lambda q: F.min(F.when(F.col("cum") >= F.col("all") * q, (F.col("b") + 0.5) * BIN))
-    per = counts.groupBy("lang", "source", "f").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("all").alias("n"))
+    per = counts.groupBy(*KEY, "f").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("all").alias("n"))
     floor = F.element_at(F.array(*(F.lit(FLOORS[n]) for n in FEATURES)), F.col("f") + 1)
     per = per.withColumn("sd", F.greatest((F.col("q3") - F.col("q1")) / 1.349, floor))
     pick = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
     cols = [pick(i, "q2").alias(f"m{i}") for i in range(len(FEATURES))]
     cols += [(pick(i, "sd") * pick(i, "sd") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return per.groupBy("lang", "source").agg(F.max("n").alias("n"), *cols).filter(F.col("n") >= MIN_GROUP)
+    return per.groupBy(*KEY).agg(F.max("n").alias("n"), *cols)
 
 
 def _factored(est: DataFrame) -> DataFrame:
@@ -97,13 +100,14 @@ def _factored(est: DataFrame) -> DataFrame:
         new = {f"l{j}{j}": F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{p}") * F.col(f"l{j}{p}") for p in range(j)), F.lit(0.0)), F.lit(1e-9)))}
         est = est.withColumns(new)
         est = est.withColumns({f"l{i}{j}": (F.col(f"c{j}{i}") - sum((F.col(f"l{i}{p}") * F.col(f"l{j}{p}") for p in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, k)} or {"_": F.lit(0)})
-    return est.select("lang", "source", *(f"m{i}" for i in range(k)), *(f"l{i}{j}" for i in range(k) for j in range(i + 1)))
+    return est.select(*KEY, *(f"m{i}" for i in range(k)), *(f"l{i}{j}" for i in range(k) for j in range(i + 1)))
 
 
 def _distances(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """Rows with their squared Mahalanobis distance d2, null where the group has no estimate."""
-    right = est.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    out = rows.join(right, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    """Rows with their squared Mahalanobis distance d2 from the estimate of their KEY, null where there is none."""
+    right = est.withColumnsRenamed({c: f"_{c}" for c in KEY})
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = rows.join(right, same("level") & same("lang") & same("source"), "left")
     for i, name in enumerate(FEATURES):
         out = out.withColumn(f"y{i}", (F.col(name) - F.col(f"m{i}") - sum((F.col(f"l{i}{p}") * F.col(f"y{p}") for p in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
     return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(FEATURES))), F.lit(0.0))).select(*rows.columns, "d2")
@@ -113,19 +117,40 @@ def _concentrated(rows: DataFrame, est: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of the SUPPORT share with the smallest distances, floors added."""
     d = _distances(rows, est).filter(F.col("d2").isNotNull()).withColumn("b", F.floor(F.log1p("d2") / DISTANCE_BIN))
     sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in PAIRS]
-    per = d.groupBy("lang", "source", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
-    whole = Window.partitionBy("lang", "source")
+    per = d.groupBy(*KEY, "b").agg(F.count(F.lit(1)).alias("n"), *sums)
+    whole = Window.partitionBy(*KEY)
     per = per.withColumn("before", F.coalesce(F.sum("n").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(whole))
     kept = per.filter(F.col("before") < F.col("all") * SUPPORT)
-    tot = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [f"s{i}" for i in range(len(FEATURES))] + [f"p{i}{j}" for i, j in PAIRS]))
+    tot = kept.groupBy(*KEY).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [f"s{i}" for i in range(len(FEATURES))] + [f"p{i}{j}" for i, j in PAIRS]))
     mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(len(FEATURES))}
     tot = tot.withColumns(mean)
     cov = {f"c{i}{j}": F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOORS[FEATURES[i]] ** 2 if i == j else 0.0) for i, j in PAIRS}
-    return tot.withColumns(cov).select("lang", "source", "n", *mean, *cov)
+    return tot.withColumns(cov).select(*KEY, "n", *mean, *cov)
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """(_lang, _source) -> level of the estimate that judges the group, and the levels that its fitting rows enter.
+
+    A language is pooled where it has a small group and enough fitting rows in all, the table where a language has too few.
+    """
+    counts = rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    language, small = Window.partitionBy("lang"), F.col("n") < MIN_GROUP
+    counts = counts.withColumn("of_lang", F.sum("n").over(language)).withColumn("pooled", F.max(small).over(language))
+    rare = F.col("of_lang") < MIN_GROUP
+    level = F.when(~small, 0).when(~rare, 1).otherwise(2)
+    groups = materialize(counts.select("lang", "source", level.alias("level"), (F.col("pooled") & ~rare).alias("pooled")), "mcd-groups")
+    whole = not groups.filter("level = 2").isEmpty()
+    enters = F.array_compact(F.array(F.when(F.col("level") == 0, 0), F.when(F.col("pooled"), 1), F.lit(2 if whole else None).cast("int")))
+    return groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "level", enters.alias("_enters"))
+
+
+def _keyed(rows: DataFrame, level: str) -> DataFrame:
+    """Rows with KEY for their level: lang and source are null where it pools them."""
+    return rows.select(F.col(level).alias("level"), F.when(F.col(level) < 2, F.col("lang")).alias("lang"), F.when(F.col(level) < 1, F.col("source")).alias("source"), *FEATURES)
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """One row a (lang, source) with the factored estimate, from rows with the features."""
+    """One row a KEY with the factored estimate, from rows with the features."""
     # Every step runs once and is written: at most one row a group, far below any broadcast limit unless groups abound.
     est = materialize(_factored(_start(rows)), "mcd")
     for _ in range(STEPS):
@@ -150,7 +175,11 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 def _judged(stats: DataFrame, cutoff: float) -> DataFrame:
     rows = stats.withColumn("base_failed", base_failed()).withColumns(features())
-    est = fit(rows.filter(~F.col("base_failed")).select("lang", "source", *FEATURES))
-    out = _distances(rows, est)
+    levels = _levels(rows)
+    rows = rows.join(levels, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_lang", "_source")
+    est = fit(_keyed(rows.filter(~F.col("base_failed")).withColumn("_level", F.explode("_enters")), "_level"))
+    pooled = {"lang": F.when(F.col("level") < 2, F.col("lang")), "source": F.when(F.col("level") < 1, F.col("source"))}
+    own = rows.withColumns({"_own_lang": F.col("lang"), "_own_source": F.col("source")}).withColumns(pooled)
+    out = _distances(own, est).withColumns({"lang": F.col("_own_lang"), "source": F.col("_own_source")})
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
-    return out.withColumn("kept", kept).drop(*FEATURES)
+    return out.withColumn("kept", kept).select(*stats.columns, "base_failed", "d2", "kept")

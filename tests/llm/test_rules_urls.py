@@ -78,6 +78,25 @@ def test_small_groups_nulls_and_empty(spark):
     assert qr.judge(d.limit(0)).count() == 0 and qr.keep_good(d.limit(0)).count() == 0
 
 
+def test_small_groups_are_judged_by_their_language_or_the_table(spark):
+    """Sources of a few rows, in a language with many rows or in one with few, and a null one: none is left unjudged."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    groups = [("en", "big")] * 90 + [("en", f"s{i % 4}") for i in range(40)] + [("fi", "s"), ("fi", None), (None, None)] * 6
+    rows = []
+    for i, (lang, source) in enumerate(groups):
+        text = " ".join(rng.choice(vocabulary, rng.integers(40, 300)))
+        rows.append((i, text.replace("w", "|#|%$") + "\nsame\nsame\nsame" * 20 if i % 10 == 0 or i in (143, 146) else text, lang, source, 0))
+    out = {r.doc_id: r for r in qr.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    s = np.array([slow_stats(r[1]) for r in rows], float)
+    x = np.column_stack([np.log1p(s[:, 0]), np.log1p(s[:, 1] / s[:, 0]), *(np.log1p(100 * s[:, k] / s[:, 0]) for k in (2, 3, 4))])
+    fits = (s[:, 0] >= 10) & (100 * s[:, 4] <= 20 * s[:, 0])
+    big, en = np.arange(len(rows)) < 90, np.arange(len(rows)) < 130
+    want = np.where(big, slow_mcd(x, fits & big), np.where(en, slow_mcd(x, fits & en), slow_mcd(x, fits)))
+    assert np.allclose([out[i].d2 for i in range(len(rows))], want, rtol=1e-6)
+    assert all(out[i].kept == (rows[i][1].count("|") == 0) for i in range(len(rows)))
+
+
 URLS = {
     1: "https://WWW.Example.com/en/7x?q=/a", 2: "http://a.example.com/en/8", 3: "https://b.example.net/de/81#x", 4: "ftp://example.net/de/9", 5: "x://org/es/", 6: "http://notcom/en/", 7: None, 8: "no scheme",
     9: "https://casino-win.example.org/fr/1", 10: "https://library.example.org/fr/1", 11: "http://com", 12: "a://b://c.com/en/", 13: "http://ÉX.com/en/É",
