@@ -56,12 +56,66 @@ def test_links_also_when_divided(spark, rows):
     assert got == near(v)
 
 
-@pytest.mark.parametrize(("rows", "budget", "blocks"), [(100_000, 10, 3), (40, 5, 2), (10, 4, 5)])
-def test_links_with_bits_to_spare_in_the_leading_block(spark, rows, budget, blocks):
-    v = clustered(np.random.default_rng(3), 300)
-    d = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "fp long")
-    got = {tuple(sorted((r.u % (1 << 64), r.v % (1 << 64)))) for r in simhash.links(d, budget, subtrie_rows=rows, blocks=blocks).collect()}
-    assert got == near(v, budget)
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def edited(rng, words, vocabulary, share):
+    """A copy of a list of words with about that share of them replaced, dropped or added."""
+    out = []
+    for w in words:
+        x = rng.random() / share if share else 1
+        out += [w] if x >= 1 else [[], [str(rng.choice(vocabulary))], [w, str(rng.choice(vocabulary))]][int(x * 3)]
+    return out
+
+
+@pytest.mark.parametrize("rows", [100_000, 8])
+def test_near_links_against_brute_force(spark, rows):
+    """Exact five-word similarity of all pairs of 2,000 texts; only pairs at the sketch's own error from 0.8 may differ."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    while len(texts) < 2000:
+        base = rng.choice(vocabulary, int(rng.choice([6, 12, 40, 150, 600]))).tolist()
+        texts += [" ".join(edited(rng, base, vocabulary, s)) for s in (0, 0.003, 0.006, 0.01, 0.015, 0.02, 0.03, 0.1)]
+    texts = list(dict.fromkeys(texts))
+    sets = [shingles(t) for t in texts]
+    near, holding = {}, {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holding.setdefault(x, []).append(i)
+    for members in holding.values():
+        for i in members:
+            for j in members:
+                if i < j and (i, j) not in near:
+                    near[i, j] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = simhash.fingerprints(d, near=True).cache()
+    name = {r.id: r.doc_id for r in t.select("id", "doc_id").collect()}
+    forest = [(name[r.u], name[r.v]) for r in simhash.near_links(t.drop("doc_id"), subtrie_rows=rows).collect()]
+    t.unpersist()
+    whole = range(len(texts))
+    got, sure, may = classes(forest, whole), classes([p for p, x in near.items() if x >= 0.85], whole), classes([p for p, x in near.items() if x >= 0.75], whole)
+    wanted = [p for p, x in near.items() if x >= 0.8]
+    assert len(wanted) > 600 and sum(got[i] == got[j] for i, j in wanted) >= 0.98 * len(wanted)
+    missed = [p for p, x in near.items() if x >= 0.85 and got[p[0]] != got[p[1]]]
+    assert len(missed) <= 0.002 * len(wanted), [(near[p], p) for p in missed]
+    assert all(may[i] == may[got[i]] for i in whole) and len(set(sure.values())) >= len(set(got.values())) - len(missed)
+
+
+def test_large_group_of_near_copies_costs_its_size(spark):
+    """Each of 3,000 near copies differs from the others; all are linked, and node pairs of linked texts are not entered."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    texts = [" ".join([*base[:i % 115], f"x{i}", *base[i % 115 + 1 :]]) for i in range(3000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = simhash.cluster(d, budget=simhash.NEAR_BUDGET, similarity=simhash.SIMILARITY)
+    assert out.filter("component_id = 0").count() == 3000
+    v = np.unique(rng.integers(0, 1 << 8, 3000).astype(np.uint64))
+    groups = simhash.Groups(len(v))
+    groups.link(np.zeros(len(v) - 1, int), np.arange(1, len(v)))
+    assert not list(simhash.trie_pairs(v, np.array([[0, len(v), 0, len(v), 0, 63, 0]]), 16, groups=groups))
 
 
 def test_near_copies_by_similarity(spark):
@@ -80,7 +134,7 @@ def test_near_copies_by_similarity(spark):
         rows.append((10 * g + 9, " ".join(base[:140] + rng.choice(vocabulary, 260).tolist())))
         group[10 * g + 9] = 10 * g + 9
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    out = simhash.cluster(d, budget=simhash.NEAR_BUDGET, blocks=simhash.NEAR_BLOCKS, similarity=simhash.SIMILARITY)
+    out = simhash.cluster(d, budget=simhash.NEAR_BUDGET, similarity=simhash.SIMILARITY)
     got = {r.doc_id: r.component_id for r in out.collect()}
     assert sum(got[i] == group[i] for i in group) >= 0.98 * len(group)
     assert all(got[i] in (group[i], i) for i in group)
