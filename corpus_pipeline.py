@@ -34,7 +34,7 @@ def quality_net_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each near-duplicate group: five-word similarity 0.8 or more."""
     _prepare(spark)
-    return simhash.keep_first(docs, budget=simhash.NEAR_BUDGET, blocks=simhash.NEAR_BLOCKS, similarity=simhash.SIMILARITY)
+    return simhash.keep_first(docs, budget=simhash.NEAR_BUDGET, similarity=simhash.SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
