@@ -1,13 +1,18 @@
 """Language-model scores by masked pseudo-likelihood, with a bidirectional window network in numpy.
 
 Every token is predicted from the ``RADIUS`` tokens on either side of it; a document's score is the sum of the natural
-logarithms of those conditional probabilities. Tokens are ids of lower-cased words: the most frequent words of the whole
-corpus have ids of their own, the others share buckets by their ending.
-
-All documents take part in training. The words are counted over the corpus; then, ``ROUNDS`` times, every partition
-trains a copy of the network on its documents (every ``STRIDE``-th position of each, from an offset that rotates) and the copies
-are averaged by the number of positions. Parameters are summed as fixed-point integers by Spark, so the driver only ever
-holds one network and a rerun over the same files gives the same one.
+logarithms of those conditional probabilities. Tokens are lower-cased words. The ``VOCAB - BUCKETS`` most frequent words
+of the corpus are predicted as such: first a class of ``WIDE`` words that are next to each other by frequency, then the
+word within its class, both from the window. Any other word is predicted as one of ``BUCKETS`` buckets by its last byte,
+and then spelled from its end: every byte, and the start at last, from the byte after it. The spelling is counted over
+all such words of the corpus, so a word that looks like none of them scores lower than one of common pieces.
+
+All documents take part. Words and spelling are counted over the whole corpus. The network is trained in ``ROUNDS``
+rounds, in which every position of every document is used once (those whose index leaves the round's number as the
+remainder): each partition trains a copy and the copies are averaged by the number of positions. Copies are summed as
+integers in two steps, chunk by chunk of the parameters, so no task and not the driver holds more than one network at a
+time, and the order of the sums makes no difference. The averaged network does depend on which documents share a
+partition; over the same files with the same settings reruns give the same one.
 
 Edge cases: a null or empty text has no tokens and score 0, with a null mean; texts shorter than a window are padded;
 repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored.
@@ -15,7 +20,6 @@ repeated rows get equal scores; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,14 +31,17 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-VOCAB, BUCKETS = 256, 32
-RADIUS, HIDDEN = 2, 16
-STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 2, 512, 0.1, 3
-#: Positions scored at once; fixed-point scale of summed parameters.
-BLOCK, SCALE = 4096, float(1 << 24)
+CLASSES, WIDE = 64, 64
+VOCAB, BUCKETS = CLASSES * WIDE, 32
 PAD = VOCAB
-#: Distinct words that a task counts before it hands its partial counts on.
-COUNTER_WORDS = 500_000
+RADIUS, HIDDEN = 2, 16
+ROUNDS, BATCH, RATE, SEED = 2, 2048, 0.1, 3
+#: Positions handled at once; scale of summed parameters; chunks of the parameters, and in how many parts each is summed first.
+BLOCK, SCALE, CHUNKS, PARTS = 1 << 16, 1 << 14, 16, 16
+#: Distinct words that a task counts before it hands its partial counts on, and codes of words that it keeps.
+COUNTER_WORDS, TABLE_WORDS = 500_000, 300_000
+#: The symbol before the first byte of a word.
+START = 256
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,33 +49,44 @@ def words(text: str | None) -> list[bytes]:
 
 
 def bucket(word: bytes) -> int:
-    return VOCAB - BUCKETS + zlib.crc32(word[-3:]) % BUCKETS
+    return VOCAB - BUCKETS + word[-1] % BUCKETS
+
+
+# --- network ---------------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Net:
-    """Window tables (a row per context id and place), hidden bias, output weights and bias."""
+    """Window tables (a row per place and context id), hidden bias, and the weights and biases of classes and words."""
 
     tables: np.ndarray  # 2*RADIUS x (VOCAB+1) x HIDDEN
     hidden: np.ndarray
-    out: np.ndarray  # HIDDEN x VOCAB
-    bias: np.ndarray
+    top: np.ndarray  # HIDDEN x CLASSES
+    top_bias: np.ndarray
+    low: np.ndarray  # CLASSES x HIDDEN x WIDE
+    low_bias: np.ndarray  # CLASSES x WIDE
+
+    SHAPES = ((2 * RADIUS, VOCAB + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, WIDE), (CLASSES, WIDE))
 
     @staticmethod
     def start(counts: np.ndarray) -> "Net":
-        """Small random tables and the corpus's own frequencies as output bias."""
+        """Small random weights, and the corpus's own frequencies as biases."""
         rng = np.random.default_rng(SEED)
-        share = (counts + 1) / (counts + 1).sum()
-        return Net(rng.normal(0, 0.1, (2 * RADIUS, VOCAB + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, (HIDDEN, VOCAB)).astype(np.float32), np.log(share).astype(np.float32))
+        n = (counts + 1.0).reshape(CLASSES, WIDE)
+        first = [rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s) for s in Net.SHAPES]
+        first[3], first[5] = np.log(n.sum(1) / n.sum()), np.log(n / n.sum(1, keepdims=True))
+        return Net(*(x.astype(np.float32) for x in first))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.tables, self.hidden, self.top, self.top_bias, self.low, self.low_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.tables, self.hidden, self.out, self.bias)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     @staticmethod
     def from_flat(x: np.ndarray) -> "Net":
-        shapes = [(2 * RADIUS, VOCAB + 1, HIDDEN), (HIDDEN,), (HIDDEN, VOCAB), (VOCAB,)]
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-        return Net(*(p.reshape(s).astype(np.float32) for p, s in zip(np.split(x, cuts), shapes, strict=True)))
+        cuts = np.cumsum([int(np.prod(s)) for s in Net.SHAPES])[:-1]
+        return Net(*(p.reshape(s).astype(np.float32) for p, s in zip(np.split(x, cuts), Net.SHAPES, strict=True)))
 
     def hide(self, context: np.ndarray) -> np.ndarray:
         h = self.tables[0].take(context[:, 0], axis=0)
@@ -78,54 +96,103 @@ class Net:
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """ln P(target | context) for every row."""
-        z = self.hide(context) @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        hit = z[np.arange(len(z)), target]
-        return hit - np.log(np.exp(z, out=z).sum(1))
-
-    def score(self, ids: np.ndarray) -> float:
-        total = 0.0
-        for lo in range(0, len(ids), BLOCK):
-            at = np.arange(lo, min(len(ids), lo + BLOCK))
-            context, target = windows(ids, at)
-            total += float(self.log_probs(context, target).sum(dtype=np.float64))
-        return total
-
-
-def windows(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context ids (left to right, without the middle) and targets at the positions ``at``; outside is PAD."""
-    lo, hi = (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
-    part = np.full(hi - lo + 2 * RADIUS, PAD, np.int64)
-    a, b = max(0, lo - RADIUS), min(len(ids), hi + RADIUS)
-    part[a - lo + RADIUS : b - lo + RADIUS] = ids[a:b]
-    i = at - lo + RADIUS
-    context = np.stack([part[i + k] for k in range(-RADIUS, RADIUS + 1) if k], 1)
-    return context, part[i]
-
-
-def train_local(net: Net, context: np.ndarray, target: np.ndarray, square: list[np.ndarray]) -> None:
-    """Adagrad steps over the rows in minibatches; changes ``net`` and the sums of squares in place."""
-    for lo in range(0, len(target), BATCH):
-        c, y = context[lo : lo + BATCH], target[lo : lo + BATCH]
-        n = len(y)
-        h = net.hide(c)
-        z = h @ net.out + net.bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z, out=z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), y] -= 1
+        order, cuts = by_class(target)
+        h, y = self.hide(context[order]), target[order].astype(np.intp)
+        out = np.empty(len(y), np.float32)
+        out[order] = _log_softmax_at(h @ self.top + self.top_bias, y // WIDE) + _log_softmax_at(self._words(h, cuts), y % WIDE)
+        return out
+
+    def _words(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """What is said for each word of a row's own class; rows are sorted by class."""
+        z = np.empty((len(h), WIDE), np.float32)
+        for c in range(CLASSES):
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                np.matmul(h[a:b], self.low[c], out=z[a:b])
+                z[a:b] += self.low_bias[c]
+        return z
+
+    def step(self, context: np.ndarray, target: np.ndarray, square: "Net") -> None:
+        """One Adagrad step on a minibatch; changes the net and the sums of squares in place."""
+        order, cuts = by_class(target)
+        c, y, n = context[order], target[order].astype(np.intp), len(target)
+        h = self.hide(c)
+        p, q = _softmax(h @ self.top + self.top_bias), _softmax(self._words(h, cuts))
+        rows = np.arange(n)
+        p[rows, y // WIDE] -= 1
+        q[rows, y % WIDE] -= 1
         p /= n
-        dh = (p @ net.out.T) * (1 - h * h)
-        for w, g, s in ((net.out, h.T @ p, square[2]), (net.bias, p.sum(0), square[3]), (net.hidden, dh.sum(0), square[1])):
-            s += g * g
-            w -= RATE * g / np.sqrt(s)
+        q /= n
+        dh = p @ self.top.T
+        for k in range(CLASSES):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                dh[a:b] += q[a:b] @ self.low[k].T
+        dh *= 1 - h * h
+        for k in range(CLASSES):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                _adagrad(self.low[k], h[a:b].T @ q[a:b], square.low[k])
+                _adagrad(self.low_bias[k], q[a:b].sum(0), square.low_bias[k])
+        _adagrad(self.top, h.T @ p, square.top)
+        _adagrad(self.top_bias, p.sum(0), square.top_bias)
+        _adagrad(self.hidden, dh.sum(0), square.hidden)
         for k in range(2 * RADIUS):
-            seen, inv = np.unique(c[:, k], return_inverse=True)
-            one = np.zeros((len(seen), n), np.float32)
-            one[inv, np.arange(n)] = 1
-            g = one @ dh
-            square[0][k][seen] += g * g
-            net.tables[k][seen] -= RATE * g / np.sqrt(square[0][k][seen])
+            by = np.argsort(c[:, k], kind="stable")
+            ids = c[by, k]
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            g, seen = np.add.reduceat(dh[by], first, axis=0), ids[first]
+            s = square.tables[k][seen] + g * g
+            square.tables[k][seen] = s
+            self.tables[k][seen] -= RATE * g / np.sqrt(s)
+
+
+def _adagrad(w: np.ndarray, g: np.ndarray, s: np.ndarray) -> None:
+    s += g * g
+    w -= RATE * g / np.sqrt(s)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    hit = z[np.arange(len(z)), at]
+    return hit - np.log(np.exp(z, out=z).sum(1))
+
+
+def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of their target's class, and where each class begins among them."""
+    c = (target // WIDE).astype(np.uint8)
+    return np.argsort(c, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(c, minlength=CLASSES))))
+
+
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context ids (left to right, without the middle), targets and places of all tokens; outside a text is PAD."""
+    gap = np.full(RADIUS, PAD, np.uint16)
+    line = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+    at = np.flatnonzero(line != PAD)
+    return np.stack([line[at + k] for k in range(-RADIUS, RADIUS + 1) if k], 1), line[at], at
+
+
+def _blocks(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in lists of about BLOCK tokens."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= BLOCK:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+# --- counts and codes ------------------------------------------------------------------------------------------------
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -145,78 +212,185 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids): a byte a token."""
+@dataclass
+class Vocabulary:
+    """The words with ids of their own, how often every id occurs, and what rare words are spelled like."""
+
+    ids: dict[bytes, int]
+    counts: np.ndarray
+    last: list[float]  # ln P(last byte | bucket) by byte
+    before: list[list[float]]  # by byte after, then byte or START: ln P
+
+    def spelled(self, word: bytes) -> float:
+        """ln P(word | its bucket): its last byte, then each byte and the start from the byte after it."""
+        total, left = self.last[word[-1]], START
+        for byte in word:
+            total += self.before[byte][left]
+            left = byte
+        return total
+
+
+def spelling(pairs: np.ndarray, last: np.ndarray) -> tuple[list[float], list[list[float]]]:
+    """The logarithms of smoothed shares, from counts of (byte after, byte) and of last bytes."""
+    before = np.log((pairs + 0.5) / (pairs + 0.5).sum(1, keepdims=True))
+    n, group = last + 0.5, np.arange(256) % BUCKETS
+    return np.log(n / np.bincount(group, n)[group]).tolist(), before.tolist()
+
+
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    counts = materialize(counts, "lm-words")
+    own = counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()
+    ids = {bytes(r["word"]): i for i, r in enumerate(own)}
+    known = frozenset(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of a task: (byte after, byte), with 256 as the byte after for a last byte."""
+        found = np.zeros((257, 257), np.int64)
+        for b in batches:
+            rare = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in known]
+            if rare:
+                size = np.array([len(w) for w, _ in rare])
+                line = np.frombuffer(b"".join(w for w, _ in rare), np.uint8).astype(np.intp)
+                n = np.array([n for _, n in rare])
+                ends = np.cumsum(size)
+                left, right = np.concatenate(([START], line[:-1])), line
+                left[ends[:-1]] = START  # the first byte of every word
+                found += np.bincount(right * 257 + left, np.repeat(n, size), 257 * 257).astype(np.int64).reshape(257, 257)
+                found[256] += np.bincount(line[ends - 1], n, 257).astype(np.int64)
+        after, byte = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(after, pa.int32()), pa.array(byte, pa.int32()), pa.array(found[after, byte])], names=["after", "byte", "n"])
+
+    # At most 257 * 257 rows.
+    pairs = np.zeros((257, 257))
+    for r in counts.mapInArrow(run, "after int, byte int, n long").groupBy("after", "byte").agg(F.sum("n").alias("n")).collect():
+        pairs[r["after"], r["byte"]] = r["n"]
+    last, before = spelling(pairs[:256], pairs[256, :256])
+    per = np.zeros(VOCAB)
+    per[: len(own)] = [r["n"] for r in own]
+    per[VOCAB - BUCKETS :] = np.bincount(np.arange(256) % BUCKETS, pairs[256, :256])
+    return Vocabulary(ids, per, last, before)
+
+
+class Codes(dict):
+    """Word -> place in ``ids`` and ``spelled``; rare words are added as they come, the bounded table starts anew if full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.update(self.vocabulary.ids)
+        n = len(self)
+        self.size = n
+        self.ids, self.spelled = np.zeros(n + TABLE_WORDS, np.uint16), np.zeros(n + TABLE_WORDS)
+        self.ids[:n] = np.arange(n)
+
+    def __missing__(self, word: bytes) -> int:
+        if self.size == len(self.ids):  # a text with more rare words than the table holds
+            grown = len(self.ids)
+            self.ids, self.spelled = np.append(self.ids, np.zeros(grown, np.uint16)), np.append(self.spelled, np.zeros(grown))
+        i = self[word] = self.size
+        self.ids[i], self.spelled[i] = bucket(word), self.vocabulary.spelled(word)
+        self.size += 1
+        return i
+
+    def of(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The ids of a text and what its rare words add by their spelling."""
+        w = words(text)
+        if self.size + min(len(w), TABLE_WORDS) > len(self.vocabulary.ids) + TABLE_WORDS:
+            self.reset()
+        at = np.fromiter(map(self.__getitem__, w), np.intp, len(w))
+        return self.ids[at], float(self.spelled[at].sum())
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, spelled): two bytes a token, and the logarithm of the rare words' spelling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(vocabulary)
+        codes = Codes(vocabulary)
         for b in batches:
-            out = []
-            for t in b.column(1):
-                ids = bytearray()
-                for w in words(t.as_py()):
-                    i = table.get(w)
-                    ids.append(bucket(w) if i is None else i)
-                out.append(bytes(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            ids, spelled = zip(*(codes.of(t.as_py()) for t in b.column(1)), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array(spelled, pa.float64())], names=["doc_id", "ids", "spelled"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, spelled double")
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py() or b"", "<u2") for x in column]
+
+
+# --- training and scoring --------------------------------------------------------------------------------------------
+
+
+def train_local(net: Net, texts: Iterator[np.ndarray], round_: int, rounds: int) -> int:
+    """Train ``net`` in place on the round's positions of all texts, and say how many they were."""
+    square = Net(*(np.full_like(x, 1e-2) for x in net.parts()))
+    rng = np.random.default_rng(SEED)
+    total = seen = 0
+    for held in _blocks(texts):
+        context, target, _ = windows(held)
+        mine = np.arange((round_ - seen) % rounds, len(target), rounds)
+        seen += len(target)
+        mine = rng.permutation(mine)
+        for at in range(0, len(mine), BATCH):
+            net.step(context[mine[at : at + BATCH]], target[mine[at : at + BATCH]], square)
+        total += len(mine)
+    return total
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (c, part, w, n) to one row a chunk c and part, added up as they come."""
+    held: dict[tuple[int, int], list] = {}
+    for b in batches:
+        for c, part, w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            x = held.setdefault((c, part), [0, 0])
+            x[0], x[1] = x[0] + np.frombuffer(w.as_buffer(), np.int64), x[1] + n
+    for (c, part), (w, n) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["c", "part", "w", "n"])
 
 
 def train(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Net:
     """Average the copies that all partitions train, ``rounds`` times."""
-    net = Net.start(counts)
+    net, kind = Net.start(counts), "c int, part int, w binary, n long"
     for r in range(rounds):
         flat = net.flat()
 
         def run(batches: Iterator[pa.RecordBatch], flat=flat, r=r) -> Iterator[pa.RecordBatch]:
             mine = Net.from_flat(flat)
-            square = [np.full_like(x, 1e-2) for x in (mine.tables, mine.hidden, mine.out, mine.bias)]
-            n = seen = 0
-            for b in batches:
-                held: list[tuple[np.ndarray, np.ndarray]] = []
-                for raw in b.column(0):
-                    x = np.frombuffer(raw.as_py() or b"", np.uint8)
-                    seen += 1
-                    at = np.arange((seen * 7 + r * (STRIDE // 2)) % STRIDE % max(1, len(x)), len(x), STRIDE) if len(x) else np.zeros(0, np.int64)
-                    if len(at):
-                        held.append(windows(x, at))
-                if held:
-                    context, target = (np.concatenate(z) for z in zip(*held, strict=True))
-                    order = np.random.default_rng(SEED + n).permutation(len(target))
-                    train_local(mine, context[order], target[order], square)
-                    n += len(target)
+            n = train_local(mine, (x for b in batches for x in _ids(b.column(0))), r, rounds)
             if n:
-                w = mine.flat().astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(np.round(w * SCALE / 1024).astype(np.int64)), pa.array(np.full(len(w), n, np.int64))], names=["i", "w", "n"])
-
-        # Decimal sums: exact whatever the number of partitions. The result has a row a parameter.
-        total = ids.select("ids").mapInArrow(run, "i int, w long, n long").groupBy("i").agg(F.sum(F.col("w").cast("decimal(28,0)")).cast("double").alias("w"), F.sum("n").alias("n"))
-        rows = total.orderBy("i").toArrow()
-        if len(rows):
-            net = Net.from_flat(rows.column("w").to_numpy() / (SCALE / 1024) / rows.column("n").to_numpy())
+                part = int(n % 1000003) % PARTS  # any spread will do
+                for c, w in enumerate(np.array_split(np.round(mine.flat().astype(np.float64) * SCALE).astype(np.int64) * n, CHUNKS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["c", "part", "w", "n"])
+
+        each = ids.select("ids").mapInArrow(run, kind)
+        some = each.repartition("c", "part").mapInArrow(_summed, kind).withColumn("part", F.lit(0))
+        rows = some.repartition("c").mapInArrow(_summed, kind).orderBy("c").collect()
+        if rows:  # one network
+            net = Net.from_flat(np.concatenate([np.frombuffer(x["w"], np.int64) / (x["n"] * SCALE) for x in rows]))
     return net
 
 
-def vocabulary_of(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
-    """The ids of the most frequent words, and how often every id occurs in the corpus."""
-    counts = materialize(counts, "lm-words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
-    per = np.zeros(VOCAB)
-    for i, r in enumerate(top):
-        per[i] = r["n"]
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    per[VOCAB - BUCKETS :] = (total - per.sum()) / BUCKETS
-    return vocabulary, per
+def scores(net: Net, texts: list[np.ndarray]) -> np.ndarray:
+    """The sum of ln P of every text's tokens."""
+    out = np.zeros(len(texts))
+    size = np.array([len(t) for t in texts], np.int64)
+    if not size.sum():
+        return out
+    context, target, _ = windows(texts)
+    logs = np.concatenate([net.log_probs(context[at : at + BLOCK], target[at : at + BLOCK]) for at in range(0, len(target), BLOCK)])
+    full = size > 0
+    out[full] = np.add.reduceat(logs.astype(np.float64), (np.cumsum(size) - size)[full])
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score, mean_score of every whole text, by a network trained on all of ``docs``."""
-    vocabulary, per = vocabulary_of(word_counts(docs))
+    vocabulary = vocabulary_of(word_counts(docs))
     ids = materialize(encoded(docs, vocabulary), "lm-ids")
-    return score_ids(ids, train(ids, per))
+    return score_ids(ids, train(ids, vocabulary.counts))
 
 
 def score_ids(ids: DataFrame, net: Net) -> DataFrame:
@@ -225,10 +399,10 @@ def score_ids(ids: DataFrame, net: Net) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Net.from_flat(flat)
         for b in batches:
-            each = [np.frombuffer(x.as_py() or b"", np.uint8) for x in b.column(1)]
-            n = pa.array([len(x) for x in each], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([own.score(x) for x in each], pa.float64())], names=["doc_id", "n_tokens", "score"])
+            texts = _ids(b.column(1))
+            total = np.concatenate([np.zeros(0), *(scores(own, held) for held in _blocks(iter(texts)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(total + b.column(2).to_numpy(zero_copy_only=False))], names=["doc_id", "n_tokens", "score"])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    out = ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, score double")
+    out = ids.select("doc_id", "ids", "spelled").mapInArrow(run, f"doc_id {kind}, n_tokens long, score double")
     return out.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

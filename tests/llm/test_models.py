@@ -48,32 +48,92 @@ def test_net_edge_cases(spark):
     assert qn.classify(docs.limit(0), none.limit(0)).count() == 0
 
 
+def slow_log_prob(net, context, y):
+    h = np.tanh(sum(net.tables[k][c] for k, c in enumerate(context)) + net.hidden)
+    z, u = h @ net.top + net.top_bias, h @ net.low[y // lm.WIDE] + net.low_bias[y // lm.WIDE]
+    return z[y // lm.WIDE] - math.log(np.exp(z).sum()) + u[y % lm.WIDE] - math.log(np.exp(u).sum())
+
+
 def slow_score(net, ids):
-    total = 0.0
-    for i, y in enumerate(ids):
-        around = [i + k for k in range(-lm.RADIUS, lm.RADIUS + 1) if k]
-        h = np.tanh(sum(net.tables[k][ids[j] if 0 <= j < len(ids) else lm.PAD] for k, j in enumerate(around)) + net.hidden)
-        z = h @ net.out + net.bias
-        total += z[y] - z.max() - math.log(np.exp(z - z.max()).sum())
-    return total
+    around = lambda i: [ids[j] if 0 <= j < len(ids) else lm.PAD for j in (i + k for k in range(-lm.RADIUS, lm.RADIUS + 1) if k)]
+    return sum(slow_log_prob(net, around(i), int(y)) for i, y in enumerate(ids))
 
 
 def test_lm_score_against_plain_loops():
     net = lm.Net.start(np.arange(lm.VOCAB))
     rng = np.random.default_rng(3)
-    for n in (0, 1, 2, 5, 700):
-        ids = rng.integers(0, lm.VOCAB, n).astype(np.uint8)
-        assert math.isclose(lm.Net.from_flat(net.flat()).score(ids), slow_score(net, ids), rel_tol=1e-4, abs_tol=1e-6)
-    assert np.isclose(np.exp(net.log_probs(np.full((lm.VOCAB, 2 * lm.RADIUS), 7), np.arange(lm.VOCAB))).sum(), 1, atol=1e-4)
+    texts = [rng.integers(0, lm.VOCAB, n).astype(np.uint16) for n in (0, 1, 2, 5, 0, 700)]
+    got = lm.scores(lm.Net.from_flat(net.flat()), texts)
+    assert np.allclose(got, [slow_score(net, t) for t in texts], rtol=1e-4, atol=1e-6)
+    every = net.log_probs(np.full((lm.VOCAB, 2 * lm.RADIUS), 7, np.uint16), np.arange(lm.VOCAB, dtype=np.uint16))
+    assert np.isclose(np.exp(every).sum(), 1, atol=1e-4)
+
+
+def test_lm_gradients_against_finite_differences(monkeypatch):
+    """With a rate of one and no division the step is the gradient of the mean of -ln P."""
+    rng = np.random.default_rng(5)
+    net = lm.Net.start(rng.integers(1, 50, lm.VOCAB))
+    net = lm.Net(*(x.astype(np.float64) + rng.normal(0, 0.1, x.shape) for x in net.parts()))
+    context, target = rng.integers(0, 6, (40, 2 * lm.RADIUS)).astype(np.uint16), rng.integers(0, 200, 40).astype(np.uint16)
+    loss = lambda: -sum(slow_log_prob(net, c, int(y)) for c, y in zip(context, target, strict=True)) / len(target)
+    monkeypatch.setattr(lm, "RATE", 1.0)
+    monkeypatch.setattr(lm.np, "sqrt", lambda x: 1.0)
+    monkeypatch.setattr(lm.Net, "_words", lambda self, h, cuts: np.concatenate([h[cuts[c] : cuts[c + 1]] @ self.low[c] + self.low_bias[c] for c in range(lm.CLASSES)]))
+    before = [x.copy() for x in net.parts()]
+    net.step(context, target, lm.Net(*(np.zeros_like(x) for x in before)))
+    steps = [old - new for old, new in zip(before, net.parts(), strict=True)]
+    monkeypatch.undo()
+    net = lm.Net(*before)
+    for part, step in zip(net.parts(), steps, strict=True):
+        flat, g = part.reshape(-1), step.reshape(-1)
+        for i in [*np.argsort(-np.abs(g))[:6].tolist(), *rng.integers(0, len(flat), 3).tolist()]:
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            down = loss()
+            flat[i] = old
+            assert math.isclose((up - down) / 2e-5, g[i], rel_tol=1e-3, abs_tol=1e-7)
+
+
+def test_lm_every_position_trains_once():
+    texts = [np.arange(n, dtype=np.uint16) % 50 for n in (0, 3, 1, 2, 0, 7001)]
+    n = [lm.train_local(lm.Net.start(np.ones(lm.VOCAB)), iter(texts), r, lm.ROUNDS) for r in range(lm.ROUNDS)]
+    assert sum(n) == 7007 and max(n) - min(n) <= 1
+
+
+def test_lm_spelling(spark):
+    rows = [(1, "common " * 400 + "aab aab ab zq")] + [(2 + i, " ".join(f"common w{j}" for j in range(lm.VOCAB))) for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    v = lm.vocabulary_of(lm.word_counts(d))
+    assert v.ids[b"common"] == 0 and len(v.ids) == lm.VOCAB - lm.BUCKETS and b"zq" not in v.ids
+    assert v.counts.sum() == sum(len(t.split()) for _, t in rows) and math.isclose(sum(np.exp(v.before[ord("b")])), 1, rel_tol=1e-9)
+    group = [b for b in range(256) if b % lm.BUCKETS == ord("b") % lm.BUCKETS]
+    assert math.isclose(sum(math.exp(v.last[b]) for b in group), 1, rel_tol=1e-9)
+    assert math.isclose(v.spelled(b"ab"), v.last[ord("b")] + v.before[ord("b")][ord("a")] + v.before[ord("a")][lm.START])
+    assert v.spelled(b"aab") > v.spelled(b"qqb")
+    codes = lm.Codes(v)
+    ids, spelled = codes.of("common aab zq aab")
+    assert ids.tolist() == [0, lm.bucket(b"aab"), lm.bucket(b"zq"), lm.bucket(b"aab")] and math.isclose(spelled, 2 * v.spelled(b"aab") + v.spelled(b"zq"))
+
+
+def test_lm_codes_start_anew_and_hold_long_texts(monkeypatch):
+    monkeypatch.setattr(lm, "TABLE_WORDS", 4)
+    last, before = lm.spelling(np.zeros((256, 257)), np.zeros(256))
+    codes = lm.Codes(lm.Vocabulary({b"x": 0}, np.ones(lm.VOCAB), last, before))
+    for text in ("x a b c", " ".join(f"r{i}" for i in range(50)), "x a", "", None):
+        ids, spelled = codes.of(text)
+        w = lm.words(text)
+        assert ids.tolist() == [0 if y == b"x" else lm.bucket(y) for y in w] and math.isclose(spelled, sum(codes.vocabulary.spelled(y) for y in w if y != b"x"))
 
 
 def test_lm_learns_order(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join("one two three four five six seven eight".split()[k % 8] for k in range(rng.integers(0, 8), 400))) for i in range(200)]
     shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, (_, t) in enumerate(rows[:20])]
-    d = spark.createDataFrame(rows + shuffled + [(5000, None), (5001, ""), (None, "one two")], "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS score")
+    d = spark.createDataFrame(rows + shuffled + [(5000, None), (5001, ""), (None, "one two"), (5002, "three four " * 100_000)], "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS score")
     out = {r.doc_id: r for r in lm.score(d).collect()}
-    assert len(out) == 223 and out[5000].score == 0 and out[5000].mean_score is None and out[None].n_tokens == 2
+    assert len(out) == 224 and out[5000].score == 0 and out[5000].mean_score is None and out[None].n_tokens == 2
     ordered, mixed = (np.mean([out[i].mean_score for i in ix]) for ix in (range(20), range(1000, 1020)))
     assert ordered > mixed + 0.5 and ordered > math.log(1 / 8) + 0.5
     assert lm.score(d.limit(0)).count() == 0
