@@ -27,6 +27,46 @@ def test_net_against_plain_loops():
         assert math.isclose(net.score(text), 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-4)
 
 
+def test_net_gradients_against_finite_differences():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 105, n).astype(np.uint8).tobytes() for n in (0, 1, 5, 255, 256, 257, 700, 1500)]
+    y = np.array([1, 0, 1, 0, 1, 0, 1, 0], np.float64)
+    p = {k: x.astype(np.float64) + rng.normal(0, 0.2, x.shape) for k, x in qn.start(0.4).items()}
+    loss, g = qn.gradients(p, texts, y)
+    net = qn.Net(p["filters"], p["bias"], p["mean_w"], p["max_w"], float(p["out"][0]))
+    chance = np.array([net.score(t.decode()) for t in texts])
+    assert math.isclose(loss, -np.mean(y * np.log(chance) + (1 - y) * np.log(1 - chance)), rel_tol=1e-5)
+    step = {"filters": 1e-3}
+    for k, x in p.items():
+        flat, slope, e = x.reshape(-1), g[k].reshape(-1), step.get(k, 1e-4)
+        for i in [*np.argsort(-np.abs(slope))[:5].tolist(), int(rng.integers(0, len(flat)))]:
+            old = flat[i]
+            flat[i] = old + e
+            up = qn.gradients(p, texts, y)[0]
+            flat[i] = old - e
+            down = qn.gradients(p, texts, y)[0]
+            flat[i] = old
+            assert math.isclose((up - down) / (2 * e), slope[i], rel_tol=0.02, abs_tol=2e-5), (k, i)
+
+
+def test_training_bytes_are_bounded(spark):
+    rows = [(i, "abc " * (10 if i % 2 else 1000), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    seen = []
+    fit, qn.fit = qn.fit, lambda texts, labels: seen.append([len(t) for t in texts])
+    try:
+        qn.train(docs, labels)
+        qn.train(docs, labels, max_bytes=9000)
+        qn.train(docs, labels, max_bytes=3000)
+        qn.train(docs, labels, max_docs=7)
+    finally:
+        qn.fit = fit
+    every, some, short, few = seen
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40)) and len(few) == 7
+    assert sum(some) <= 9000 and set(short) == {40} and sum(short) <= 3000
+
+
 def test_held_out_accuracy_and_columns(spark):
     rows = sample()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").selectExpr("*", "'x' AS score", "1 AS _cd_score", "2 AS held_out")
