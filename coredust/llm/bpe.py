@@ -9,6 +9,9 @@ Text is normalised as the vocabulary file says: added tokens are split off, then
 lower case by code point (no final-sigma rule), then words by the file's pattern. The file has no decoder, so decoding
 joins the token strings with spaces.
 
+Which characters are letters or digits, what is lower case, and which marks composition knows is taken from Python's
+Unicode tables and the fixed differences to those that the library was built with, so ids are equal for every code point.
+
 Edge cases: a null or empty text, or one of white space only, has no tokens; lone surrogates cannot occur in Spark
 strings; repeated rows are encoded like any other; an empty table gives an empty result; extra columns are ignored by
 ``encode`` (pass ``keep`` to carry some).
@@ -33,8 +36,25 @@ HEAP_BYTES = 64
 #: Encoded words that a worker keeps; beyond that the table starts anew, which changes no result.
 TABLE_WORDS = 200_000
 NO_RANK = 1 << 60
-#: No letter or digit before this is newer than Python's Unicode tables.
-HIGH = re.compile("[\u0370-\U0010ffff]")
+#: How the tables of the tokenizers library differ from those of Unicode 15.1 (Python 3.13). Letters and
+#: digits that are new in its categories.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: First and last new capital, and the first one's small letter.
+NEW_LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: Marks (and the second half of a pair) that its composition, by older tables, neither orders nor joins.
+LOOSE_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0),
+    (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
 
 
 def byte_letters() -> list[str]:
@@ -44,19 +64,48 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-@cache
-def late_letters() -> str:
-    """A character class of what the regex module takes for letters or digits but Python's Unicode tables do not."""
+def _members(ranges: Iterable[tuple[int, int]]) -> set[int]:
+    return {c for a, b in ranges for c in range(a, b + 1)}
+
+
+def _class(members: Iterable[int]) -> str:
+    """The inside of a character class."""
     runs: list[list[int]] = []
-    for m in regex.finditer(r"[\p{L}\p{N}]+", "".join(map(chr, (c for c in range(0x370, 0x40000) if not 0xD800 <= c < 0xE000)))):
-        for ch in m[0]:
-            if unicodedata.category(ch)[0] not in "LN":
-                c = ord(ch)
-                if runs and runs[-1][1] == c - 1:
-                    runs[-1][1] = c
-                else:
-                    runs.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) or "\\U0010ffff"
+    for c in sorted(members):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+class Characters:
+    """Letters and digits as the library sees them, and where the regex module's own tables say otherwise."""
+
+    def __init__(self) -> None:
+        every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, every))
+        kinds = [unicodedata.category(ch)[0] for ch in text]
+        letters = {c for c, k in zip(every, kinds, strict=True) if k == "L"} | _members(NEW_LETTERS)
+        digits = {c for c, k in zip(every, kinds, strict=True) if k == "N"} | _members(NEW_DIGITS)
+        by_regex = lambda p: {ord(ch) for m in regex.finditer(p, text) for ch in m[0]}
+        self.letters, self.digits = _class(letters), _class(digits)
+        lower = {c: small + c - first for first, last, small in NEW_LOWER for c in range(first, last + 1)}
+        self.lower = lower
+        odd = (letters ^ by_regex(r"\p{L}+")) | (digits ^ by_regex(r"\p{N}+"))
+        #: No character that needs the slower way.
+        self.odd = re.compile(f"[{_class(odd | _members(LOOSE_MARKS) | set(lower))}]")
+        self.loose = re.compile(f"([{_class(_members(LOOSE_MARKS))}])")
+
+    def normal(self, text: str) -> str:
+        """NFC and lower case with the library's tables: a mark that they do not know parts what is before and after it."""
+        parts = self.loose.split(text)
+        return "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(parts)).translate(self.lower)
+
+
+@cache
+def characters() -> Characters:
+    return Characters()
 
 
 class WordBpe:
@@ -74,10 +123,8 @@ class WordBpe:
         self.splitter = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         rule = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(rule)
-        # Letters and digits of Unicode versions later than the library's are no letters or digits to it.
-        late = late_letters()
-        self.late = regex.compile(f"[{late}]")
-        self.late_pattern = regex.compile(rule.replace(r"[\p{L}]", r"\p{L}").replace(r"\p{L}\p{N}]", f"\\p{{L}}\\p{{N}}]|[{late}]").replace(r"\p{L}+", f"(?:(?![{late}])\\p{{L}})+").replace(r"|[\p{N}]", f"|(?![{late}])\\p{{N}}").replace(r"[^\s\p{L}\p{N}]|", r"(?:[^\s\p{L}\p{N}]|").replace(f"|[{late}]+", f"|[{late}])+"))
+        self.chars = characters()
+        self.exact = regex.compile(rule.replace(r"\p{L}", self.chars.letters).replace(r"\p{N}", self.chars.digits))
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         #: (left id, right id) in one integer -> (rank, merged id)
         self.merges: dict[int, tuple[int, int]] = {}
@@ -136,10 +183,13 @@ class WordBpe:
 
     def _plain(self, text: str, out: list[int]) -> None:
         # White space splits words whatever its length, so collapsing it first would change nothing.
+        pattern = self.pattern
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        late = not text.isascii() and HIGH.search(text) and self.late.search(text)
-        pattern = self.late_pattern if late else self.pattern
+            if self.chars.odd.search(text):
+                text, pattern = self.chars.normal(text), self.exact
+            else:
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")
         table = self.table
         for w in pattern.findall(text.lower()):
             ids = table.get(w)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -30,6 +31,26 @@ def test_same_as_library(both):
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False), s
 
 
+def test_every_code_point_as_in_library(both):
+    """Each code point between letters, after a combining mark and before one, and next to its own kind."""
+    own, lib = both
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 8192):
+        part = points[lo : lo + 8192]
+        texts = [f"a{chr(c)}B" for c in part] + [f"q{m}{chr(c)}{m}" for c in part if unicodedata.category(chr(c))[0] in "MC" for m in "\u0316\u0301"]
+        texts += [f"1{chr(c)}{chr(d)}!" for c, d in zip(part, part[1:], strict=False)]
+        assert [own.encode(t) for t in texts] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_canonical_pair_as_in_library(both):
+    own, lib = both
+    for c in range(0xA0, 0x30000):
+        parts = unicodedata.decomposition(chr(c))
+        if parts and "<" not in parts:
+            for text in ("".join(chr(int(x, 16)) for x in parts.split()), unicodedata.normalize("NFD", chr(c)) + "\u0323"):
+                assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 def test_heap_and_scan_agree(both):
     own, _ = both
     rng = random.Random(6)
