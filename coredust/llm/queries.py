@@ -61,8 +61,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = sharding.balanced_tree(SHARDS)
-    return sharding.shard_documents(_table(spark, sf_dir, "documents"), tree, sharding.grown(tree, SHARDS))
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS k
   FROM documents),
 named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rn FROM sized GROUP BY source),
@@ -97,7 +96,7 @@ level AS (SELECT arg_min(spare / rest, j) AS l FROM levels WHERE spare / rest *
 target AS (SELECT source, source_size, least(cap, (SELECT l FROM level) * w) AS target, a FROM weighted),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.a,
-         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.size, md5(s.text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source),
 passes AS (
   SELECT *, CAST(CASE WHEN size > 0 AND 2 * start + size < 2 * target THEN 1 ELSE 0 END

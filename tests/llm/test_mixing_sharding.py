@@ -55,21 +55,19 @@ def test_mix_rows_are_ordered_and_repeat(spark):
 def test_empty_tables(spark):
     none = docs(spark, ODD).limit(0)
     assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
-    tree = sharding.balanced_tree(16)
-    assert sharding.shard_documents(none, tree, sharding.grown(tree, 16)).count() == 0
+    assert sharding.shard_documents(none, 16).count() == 0
 
 
 def test_clashing_columns(spark):
     d = docs(spark, ODD).selectExpr("*", "1 AS size", "2 AS target", "3 AS shard", "4 AS _bucket")
     assert mixing.plan_mix(d).count() == len(ODD)
     assert mixing.mix(d).columns == d.columns
-    assert sharding.shard_documents(d, sharding.balanced_tree(4)).count() == len(ODD)
+    assert sharding.shard_documents(d, 4).count() == len(ODD)
 
 
 def test_shards_follow_the_law(spark):
     rows = [(i, f"t{i % 50}", "s") for i in range(4000)]
-    tree = sharding.balanced_tree(16)
-    out = sharding.shard_documents(docs(spark, rows), tree, sharding.grown(tree, 16)).toPandas()
+    out = sharding.shard_documents(docs(spark, rows), 16).toPandas()
     moved = out[out["shard"] != out.grown_shard]
     assert set(moved.grown_shard) == {16} and 100 < len(moved) < 400
     for _, g in out.groupby("shard"):
@@ -90,6 +88,52 @@ def test_weights_confine_movement(spark):
 
 
 def test_odd_rows_shard(spark):
-    out = sharding.shard_documents(docs(spark, ODD), sharding.balanced_tree(3)).toPandas()
+    out = sharding.shard_documents(docs(spark, ODD), 3).toPandas()
     null = out[(out["size"] == 1)]
     assert len(null) == 2 and set(null.text_crc32) == {0} and len(out) == len(ODD)
+
+
+def xxhash_of(spark, ids, names):
+    """Spark's own hash of (key, name): the only part that the brute-force draw does not compute by itself."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i,) for i in ids], "k long")
+    return {(r.k, n): r[f"h{j}"] % (1 << 64) for r in d.select("k", *(F.xxhash64("k", F.lit(n)).alias(f"h{j}") for j, n in enumerate(names))).collect() for j, n in enumerate(names)}
+
+
+def slow_shard(hashes, key, shards):
+    """Region, rack and shard of a key, by a draw for each child at each level."""
+    import math
+
+    draw = lambda name, weight: -math.log(((hashes[key, name] >> 11) + 0.5) / 2**53) / weight
+    regions = [(f"r{r}", 4.0) for r in range(4)] + [(f"g{i}", 1.0) for i in range(16, shards)]
+    for salt in [""] + [f"#{a}" for a in range(1, 16)]:
+        region = min(regions, key=lambda x: draw(x[0] + salt, x[1]))[0]
+        if region[0] == "g":
+            return int(region[1:])
+        r = int(region[1:])
+        k = min(range(2), key=lambda k: draw(f"r{r}k{k}{salt}", 2.0))
+        found = min((4 * r + 2 * k, 4 * r + 2 * k + 1), key=lambda i: draw(f"s{i}{salt}", 1.0))
+        if found < shards:
+            return found
+    return min(range(shards), key=lambda i: draw(f"s{i}#flat", 1.0))
+
+
+@pytest.mark.parametrize("shards", [1, 5, 15, 16, 17, 20])
+def test_draws_against_brute_force(spark, shards):
+    from pyspark.sql import functions as F
+
+    ids = list(range(400)) + [-7, None]
+    names = [f"r{r}{s}" for r in range(4) for s in ["", *(f"#{a}" for a in range(1, 16))]] + [f"r{r}k{k}{s}" for r in range(4) for k in range(2) for s in ["", *(f"#{a}" for a in range(1, 16))]]
+    names += [f"s{i}{s}" for i in range(16) for s in ["", *(f"#{a}" for a in range(1, 16)), "#flat"]] + [f"g{i}" for i in range(16, 22)]
+    hashes = xxhash_of(spark, ids, names)
+    d = spark.createDataFrame([(i,) for i in ids], "k long")
+    got = {r.k: (r.x, r.y) for r in d.select("k", sharding.placed(F.col("k"), shards).alias("x"), sharding.placed(F.col("k"), shards + 1).alias("y")).collect()}
+    assert {k: x for k, (x, _) in got.items()} == {k: slow_shard(hashes, k, shards) for k in ids}
+    assert all(y in (x, shards) for x, y in got.values())
+
+
+def test_repeated_rows_get_slots_of_their_own(spark):
+    rows = [(1, "same", "s")] * 700 + [(None, f"t{i}", "s") for i in range(300)] + [(None, None, "s")] * 5
+    out = sharding.shard_documents(docs(spark, rows), 16).toPandas()
+    assert len(out) == 1005 and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
