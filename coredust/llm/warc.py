@@ -3,16 +3,19 @@
 Reading plans partitions of whole files, packed up to ``PARTITION_BYTES``. Predicates on the record type and other header
 columns are pushed down. A record's headers are parsed first, from the first bytes of its gzip member; a record that a
 predicate rejects, or whose payload the schema does not ask for, is skipped by the member's skip lengths (the ``sl``
-extra field of the WARC standard's gzip annex) without decoding the rest. Members without that field are decoded to find
-their end; plain ``.warc`` files are skipped by content length.
+extra field of the WARC standard's gzip annex) without decoding the rest. Members without that field are decoded piece by
+piece to find their end, nothing of it being kept; one member may hold many records. Plain ``.warc`` files are skipped by
+content length. Header names have no case.
 
-Writing gives every record a gzip member of its own. Tasks write to hidden files; the commit on the driver renames those
+Writing takes Arrow batches and gives every record a gzip member of its own. Payloads are equal if their SHA-1 and their
+length are. Tasks write to hidden files; the commit on the driver renames those
 of the successful attempts only, so lost executors and repeated tasks leave no double records. Paths go through
 pyarrow's file systems, so any shared store it knows will do.
 
 Edge cases: a null payload is written as an empty one; a null url gives no target header; of records with equal payloads
 every one with the smallest page_id is a response and the others revisit it (a null page_id counts as larger than any);
-an empty table writes no archive and reads as an empty result; headers that clash with columns stay in ``headers``.
+an empty table writes no archive and reads as an empty result; headers that clash with columns stay in ``headers``; a
+truncated last record is read as far as it goes, and what cannot be decoded after it ends the file.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ._common import materialize
+
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, headers map<string,string>, actual_digest string, payload binary"
 #: Column -> WARC header.
 COLUMNS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
@@ -83,26 +88,28 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     """Rows of (record_type, record_id, target_uri, refers_to, payload)."""
 
     def __init__(self, path: str, file_bytes: int):
         self.path, self.file_bytes = path, file_bytes
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
         names, out, size = [], None, 0
-        for r in rows:
-            if out is None or size >= self.file_bytes:
-                if out is not None:
-                    out.close()
-                names.append(f"_{uuid.uuid4().hex}.warc.gz")
-                out, size = fs.open_output_stream(posixpath.join(root, names[-1]), compression=None), 0
-            payload = bytes(r.payload or b"")
-            data = member(record(r.record_type, r.record_id, r.target_uri, r.refers_to, payload, digest(payload)))
-            out.write(data)
-            size += len(data)
+        for b in batches:
+            texts = (b.column(c).to_pylist() for c in ("record_type", "record_id", "target_uri", "refers_to"))
+            for *head, payload in zip(*texts, b.column("payload"), strict=True):
+                if out is None or size >= self.file_bytes:
+                    if out is not None:
+                        out.close()
+                    names.append(f"_{uuid.uuid4().hex}.warc.gz")
+                    out, size = fs.open_output_stream(posixpath.join(root, names[-1]), compression=None), 0
+                raw = payload.as_py() or b""
+                data = member(record(*head, raw, digest(raw)))
+                out.write(data)
+                size += len(data)
         if out is not None:
             out.close()
         return Written(names)
@@ -136,69 +143,140 @@ def parse_headers(block: bytes) -> dict[str, str]:
     return found
 
 
-class _Gzip:
-    """Records of a file of gzip members; the rest of a record is decoded only if asked for."""
+class Records:
+    """The records of a file in order. A record's headers are at hand first; its block is read only if asked for.
+
+    ``_pull`` adds plain bytes to ``plain``, at most about ``PIECE`` at a time; ``_jump`` leaves out the rest of a record.
+    """
+
+    PIECE = 1 << 20
 
     def __init__(self, f: pa.NativeFile, size: int):
-        self.f, self.size, self.at = f, size, 0
-
-    def __iter__(self) -> Iterator[tuple[bytes, "_Gzip"]]:
-        while self.at < self.size:
-            self.f.seek(self.at)
-            self.raw = self.f.read(HEAD)
-            self.total = 0
-            if len(self.raw) >= 24 and self.raw[:3] == b"\x1f\x8b\x08" and self.raw[3] & 4 and self.raw[12:14] == b"sl":
-                self.total = struct.unpack("<I", self.raw[16:20])[0]
-            self.z = zlib.decompressobj(31)
-            self.read_to = self.at + len(self.raw)
-            self.plain = self.z.decompress(self.raw)
-            while b"\r\n\r\n" not in self.plain and self._more():
+        self.f, self.size, self.at, self.plain = f, size, 0, bytearray()
+
+    def _read(self, n: int) -> bytes:
+        self.f.seek(self.at)
+        data = self.f.read(max(0, min(n, self.size - self.at)))
+        self.at += len(data)
+        return data
+
+    def _pull(self) -> bool:
+        data = self._read(self.PIECE if self.plain else HEAD)
+        self.plain += data
+        return bool(data)
+
+    def _jump(self, n: int, whole: int) -> None:
+        self.at = min(self.size, self.at + n)
+
+    def _start(self) -> None:
+        """Called where a record begins."""
+
+    def __iter__(self) -> Iterator[dict[str, str]]:
+        while True:
+            self._start()
+            while not self.plain.strip(b"\r\n") and self._pull():
                 pass
-            yield self.plain, self
-            if not self.total:
-                while self._more():
-                    pass
-                self.total = self.read_to - len(self.z.unused_data) - self.at
-            self.at += self.total
-
-    def _more(self) -> bool:
-        if self.z.eof:
-            return False
-        self.f.seek(self.read_to)
-        more = self.f.read(max(HEAD, min(1 << 20, self.at + self.total - self.read_to)))
-        self.read_to += len(more)
-        self.plain += self.z.decompress(more)
-        return bool(more)
+            blank = len(self.plain) - len(self.plain.lstrip(b"\r\n"))
+            del self.plain[:blank]
+            looked = 0
+            while (end := self.plain.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+                looked = len(self.plain)
+                if not self._pull():
+                    return
+            headers = parse_headers(bytes(self.plain[:end]))
+            length = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+            self.left = int(length) if length.isdigit() else 0
+            self.whole = end + 4 + self.left + 4
+            del self.plain[: end + 4]
+            yield headers
+            self._skip()
+
+    def peek(self, n: int) -> bytes:
+        """The first bytes of the block, which stay in it."""
+        while len(self.plain) < min(n, self.left) and self._pull():
+            pass
+        return bytes(self.plain[: min(n, self.left)])
+
+    def until(self, mark: bytes) -> bytes:
+        """The block up to and with the mark, or all of it; what was read of it is given."""
+        looked = 0
+        while True:
+            have = min(len(self.plain), self.left)
+            at = self.plain.find(mark, max(0, looked - len(mark)), have)
+            if at >= 0 or have == self.left or not self._pull():
+                n = at + len(mark) if at >= 0 else min(len(self.plain), self.left)
+                out = bytes(self.plain[:n])
+                del self.plain[:n]
+                self.left -= n
+                return out
+            looked = have
 
     def rest(self) -> bytes:
-        while self._more():
+        """What the block still holds."""
+        while len(self.plain) < self.left and self._pull():
             pass
-        return self.plain
+        out = bytes(self.plain[: self.left])
+        del self.plain[: self.left]
+        self.left -= len(out)
+        return out
+
+    def _skip(self) -> None:
+        if self.left > len(self.plain):
+            self.left -= len(self.plain)
+            self.plain.clear()
+            self._jump(self.left, self.whole)
+        else:
+            del self.plain[: self.left]
 
 
-class _Plain:
-    """Records of an uncompressed file, skipped by their content length."""
+class GzipRecords(Records):
+    """The same in gzip members."""
 
     def __init__(self, f: pa.NativeFile, size: int):
-        self.f, self.size, self.at = f, size, 0
-
-    def __iter__(self) -> Iterator[tuple[bytes, "_Plain"]]:
-        while self.at < self.size:
-            self.f.seek(self.at)
-            self.head = self.f.read(HEAD)
-            while b"\r\n\r\n" not in self.head and (more := self.f.read(HEAD)):
-                self.head += more
-            end = self.head.find(b"\r\n\r\n")
-            if end < 0:
-                return
-            length = int(parse_headers(self.head[:end]).get("Content-Length", 0))
-            self.total = end + 4 + length + 4
-            yield self.head[: self.total], self
-            self.at += self.total
+        super().__init__(f, size)
+        self.raw, self.z, self.lengths, self.begun = b"", None, None, None
+
+    def _start(self) -> None:
+        self.begun = None
+
+    def _pull(self) -> bool:
+        while True:
+            if self.z is None:
+                if len(self.raw) < 24:
+                    self.raw += self._read(HEAD)
+                if self.raw[:2] != b"\x1f\x8b":  # the end, or padding after it
+                    return False
+                place = self.at - len(self.raw)
+                self.lengths = None
+                if len(self.raw) >= 24 and self.raw[3] & 4 and self.raw[12:14] == b"sl":
+                    self.lengths = (place, *struct.unpack("<II", self.raw[16:24]))
+                if not self.plain:
+                    self.begun = place  # the record at hand is the first of this member
+                self.z = zlib.decompressobj(31)
+            # Of a member with skip lengths little is read before it is known whether its record is wanted.
+            data = self.raw or self._read(HEAD if self.lengths and len(self.plain) < HEAD else self.PIECE)
+            try:
+                out = self.z.decompress(data, self.PIECE)
+            except zlib.error:
+                return False
+            self.raw = self.z.unconsumed_tail
+            if self.z.eof:
+                self.raw, self.z = self.z.unused_data, None
+            self.plain += out
+            if out:
+                return True
+            if not data:
+                return False
 
-    def rest(self) -> bytes:
-        self.f.seek(self.at)
-        return self.f.read(self.total)
+    def _jump(self, n: int, whole: int) -> None:
+        # A member that holds this record only is left by its skip length; else the rest is decoded and dropped.
+        if self.z is not None and self.lengths and self.begun == self.lengths[0] and self.lengths[2] == whole & 0xFFFFFFFF and whole >> 32 == 0:
+            self.at, self.raw, self.z = self.lengths[0] + self.lengths[1], b"", None
+            return
+        while n and self._pull():
+            cut = min(n, len(self.plain))
+            del self.plain[:cut]
+            n -= cut
 
 
 @dataclass
@@ -247,8 +325,9 @@ class WarcReader(DataSourceReader):
         return [Files(g) for g in groups] or [Files([])]
 
     def accepts(self, headers: dict[str, str]) -> bool:
+        """Whether the headers, with names in lower case, pass all tests."""
         for header, kind, values in self.tests:
-            value = headers.get(header)
+            value = headers.get(header.lower())
             if value is not None and header == "WARC-Payload-Digest":
                 value = value.removeprefix("sha1:")
             if value is None or (kind == "in" and value not in values) or (kind == "prefix" and not value.startswith(values[0])):
@@ -263,24 +342,19 @@ class WarcReader(DataSourceReader):
         held = 0
         for path in partition.paths:
             with fs.open_input_file(path) as f:
-                for head, rest in (_Gzip if path.endswith(".gz") else _Plain)(f, f.size()):
-                    end = head.find(b"\r\n\r\n")
-                    headers = parse_headers(head[:end])
-                    if not self.accepts(headers):
+                records = (GzipRecords if path.endswith(".gz") else Records)(f, f.size())
+                for headers in records:
+                    lower = {k.lower(): v for k, v in headers.items()}
+                    if not self.accepts(lower):
                         continue
-                    row = {c: headers.get(h) for c, h in COLUMNS.items()} | {"headers": list(headers.items())}
+                    row = {c: lower.get(h.lower()) for c, h in COLUMNS.items()} | {"headers": list(headers.items())}
                     row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
                     if wants_block:
-                        length = int(headers.get("Content-Length", 0))
-                        data = head
-                        if whole or head.find(b"\r\n\r\n", end + 4) < 0:
-                            data = rest.rest()
-                        block = data[end + 4 : end + 4 + length]
-                        http_end = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
-                        known = parse_headers(block[: max(0, http_end)]).get("Content-Length")
+                        http = records.until(b"\r\n\r\n") if records.peek(5) == b"HTTP/" else b""
+                        known = next((v for k, v in parse_headers(http).items() if k.lower() == "content-length"), None)
                         row["http_length"] = int(known) if known and known.isdigit() else None
                         if whole and row["record_type"] != "revisit":
-                            row["payload"] = block[http_end + 4 :]
+                            row["payload"] = records.rest()
                             row["actual_digest"] = digest(row["payload"])
                             held += len(row["payload"])
                     rows.append(row)
@@ -313,6 +387,7 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
+    """Records under a path. Switches the session's pushdown into Python data sources on: without it nothing is skipped."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").schema(columns).load(path)
@@ -327,10 +402,12 @@ def write_pages(pages: DataFrame, path: str, revisit_bytes: int = 0) -> None:
     spark = pages.sparkSession
     spark.dataSource.register(WarcDataSource)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("_sha", F.sha1("payload"))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"_sha": F.sha1("payload"), "_len": F.length("payload")})
     # Only digests that occur more than once travel; the counts are summed before the shuffle, whatever the group's size.
-    copies = rows.filter(F.length("payload") >= revisit_bytes).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    rows = rows.join(copies, "_sha", "left")
+    copies = rows.filter(F.col("_len") >= revisit_bytes).groupBy("_sha", "_len").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # Written first, so the join knows their size: few are sent to all tasks, and payloads are shuffled only for many.
+    copies = materialize(copies, "warc-copies")
+    rows = rows.join(copies, ["_sha", "_len"], "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     out = rows.select(F.when(revisit, "revisit").otherwise("response").alias("record_type"), page_urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), F.when(revisit, page_urn(F.col("_first"))).alias("refers_to"), "payload")
     out.write.format("warc").mode("append").option("path", path).save()

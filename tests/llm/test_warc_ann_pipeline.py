@@ -36,18 +36,69 @@ def test_files_are_plain_gzip_and_skip_lengths_are_optional(spark, tmp_path):
     assert sorted((r.record_id, r.n) for r in out) == sorted((f"<urn:x-page:{i}>", i * 5000) for i in range(5) for _ in "ab") and all(r.same for r in out)
 
 
+class Names:
+    def __init__(self, *names):
+        self.names = names
+
+
+def read_all(path, names, tests=()):
+    reader = warc.WarcReader(str(path), Names(*names), 1 << 20)
+    reader.tests = list(tests)
+    return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+
+def foreign():
+    """Records with header names in other cases, odd blocks, and payloads from none to megabytes."""
+    rng = np.random.default_rng(1)
+    bodies = [b"", b"x", rng.bytes(5000), b"z" * 3_000_000, rng.bytes(1_200_000), b"\r\n\r\n", b"last"]
+    out = []
+    for i, body in enumerate(bodies):
+        block = body if i % 3 == 0 else b"HTTP/1.0 200 OK\r\ncontent-length: %d\r\nX: y\r\n\r\n" % len(body) + body
+        head = f"WARC/1.0\r\nwarc-type: {'request' if i == 4 else 'response'}\r\nWARC-RECORD-ID: <urn:{i}>\r\ncontent-LENGTH: {len(block)}\r\nFolded: a\r\n  b\r\n\r\n"
+        out.append((head.encode() + block + b"\r\n\r\n", body))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "one member", "a member a record", "own members", "members that cut records", "padded"])
+def test_foreign_archives(tmp_path, kind):
+    rec = foreign()
+    every = b"".join(r for r, _ in rec)
+    cuts = [every[a : a + 700_001] for a in range(0, len(every), 700_001)]
+    data = {"plain": every, "one member": gzip.compress(every), "a member a record": b"".join(gzip.compress(r) for r, _ in rec), "own members": b"".join(warc.member(r) for r, _ in rec), "members that cut records": b"".join(map(gzip.compress, cuts)), "padded": gzip.compress(every) + b"\0" * 5000}[kind]
+    (tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")).write_bytes(data)
+    got = read_all(tmp_path, ["record_type", "record_id", "payload", "http_length", "headers"])
+    assert [(r["record_id"], r["payload"]) for r in got] == [(f"<urn:{i}>", body) for i, (_, body) in enumerate(rec)]
+    assert [r["http_length"] for r in got] == [None if i % 3 == 0 else len(body) for i, (_, body) in enumerate(rec)] and ("Folded", "a b") in got[0]["headers"]
+    light = read_all(tmp_path, ["record_id"], [("WARC-Type", "in", ("request",))])
+    assert [r["record_id"] for r in light] == ["<urn:4>"]
+    for limit in (0, 10, len(data) // 2, len(data) - 3):
+        (tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")).write_bytes(data[:limit])
+        cut = read_all(tmp_path, ["record_id", "payload"])
+        assert cut[:-1] == [{"record_id": r["record_id"], "payload": r["payload"]} for r in got][: max(0, len(cut) - 1)]
+
+
+def test_a_rejected_large_payload_is_neither_kept_nor_copied_over_and_over(tmp_path):
+    import time
+    import tracemalloc
+
+    body = np.random.default_rng(0).bytes(24 << 20)
+    rec = [warc.record(t, f"<urn:{t}>", "u", None, b"" if t == "revisit" else body, "D") for t in ("response", "revisit")]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(rec[0], 1) + gzip.compress(rec[1]))
+    began = time.perf_counter()
+    tracemalloc.start()
+    got = read_all(tmp_path, ["record_id"], [("WARC-Type", "in", ("revisit",))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["record_id"] for r in got] == ["<urn:revisit>"] and peak < 8 << 20 and time.perf_counter() - began < 5
+
+
 def test_rejected_records_are_not_decoded(tmp_path):
     good, bad = warc.record("response", "<urn:a>", "u", None, np.random.default_rng(0).bytes(90_000), "D"), warc.record("revisit", "<urn:b>", "u", "<urn:a>", b"", "D")
     damaged = bytearray(warc.member(good))
     damaged[-2000:-8] = b"\0" * 1992  # its payload cannot be decoded
     (tmp_path / "a.warc.gz").write_bytes(bytes(damaged) + warc.member(bad))
-    schema = warc.WarcDataSource({}).schema()
-    class Names:
-        names = [c.split()[0] for c in schema.split(", ")]
-
-    reader = warc.WarcReader(str(tmp_path), Names, 1 << 20)
-    reader.tests = [("WARC-Type", "in", ("revisit",))]
-    assert [r["record_id"] for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()] == ["<urn:b>"]
+    names = [c.split()[0] for c in warc.WarcDataSource({}).schema().split(", ")]
+    assert [r["record_id"] for r in read_all(tmp_path, names, [("WARC-Type", "in", ("revisit",))])] == ["<urn:b>"]
 
 
 def test_empty_archive(spark):
