@@ -12,8 +12,8 @@ The codebook is fitted on at most ``TRAIN_ROWS`` vectors (those with the smalles
 indexed. Queries come in blocks of about ``QUERY_BLOCK``, each scanned against all rows; a block is what is broadcast, so
 its size is bounded however many queries there are.
 
-Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
-no part; rows that repeat a vec_id are candidates each, none is a neighbour of a query with that id, and the query is the
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; shorter vectors than
+the longest count as if zeros followed, which leaves every inner product over the common length as it is; rows that repeat a vec_id are candidates each, none is a neighbour of a query with that id, and the query is the
 least of their vectors; equal scores go
 to the smaller vec_id; with fewer candidates than asked for, all are returned; an empty table gives an empty result;
 extra columns are ignored.
@@ -139,11 +139,13 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
 def build_index(vectors: DataFrame) -> tuple[DataFrame, Codebook | None]:
     """(vec_id, embedding, code) of every usable vector, and the codebook (None if there is no vector)."""
     rows = vectors.select("vec_id", "embedding").filter(usable(F.col("embedding")))
-    dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not dims:
+    size = F.size("embedding")
+    n, least, d = rows.agg(F.count(F.lit(1)), F.min(size), F.max(size)).first()
+    if not n:
         return rows.withColumn("code", F.lit(b"")), None
-    d, n = dims[0]["d"], dims[0]["count"]
-    rows = rows.filter(F.size("embedding") == d)
+    if least < d:
+        zero = F.lit(0).cast(rows.schema["embedding"].dataType.elementType)
+        rows = rows.withColumn("embedding", F.concat("embedding", F.array_repeat(zero, F.lit(d) - size)))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("embedding").toArrow().column(0).combine_chunks()
     book = fit(_matrix(sample))
 

@@ -24,10 +24,23 @@ RATE = 1.0
 L2 = 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The labelled table is the product of these names and layouts. Fixed values.
-UNWANTED = ("casino", "free-bets", "poker", "cheap-pills", "viagra", "jackpot", "lottery", "payday-loans", "replica-watches", "adult-cams", "xxx-video", "hot-singles", "escort", "crack-keygen", "torrent", "win-prizes", "miracle-diet", "forex-signals", "slot-machine", "casino-win", "spam-farm", "ads-track", "click-bait", "pop-ads")
-WANTED = ("library", "museum", "science", "garden", "recipes", "weather", "history", "school", "travel", "music", "docs", "news", "blog", "research", "theatre", "the-reading", "nation", "health", "open-data", "cooking", "thering", "tionble", "ththst", "theran")
-LAYOUTS = ("{}.example.com/en/10", "www.{}.example.org/fr/205.html", "m.{}.example.net/de/31", "blog.{}.example.com/es/4077/")
+#: The labelled table: hosts made of words that blocklists and directories of the web go by, with the same layouts for
+#: either class, so that only the words tell them apart. Fixed values.
+UNWANTED = (
+    "casino", "poker", "roulette", "blackjack", "baccarat", "slots", "jackpots", "lottery", "bingo", "betting", "bookmaker", "wager", "viagra", "cialis", "pills", "pharmacy-discount", "steroids", "weightloss", "payday", "quick-loan", "credit-repair",
+    "forex", "binary-options", "replica", "fake-watches", "counterfeit", "adult", "xxx", "porn", "webcam", "escort", "hookup", "singles", "warez", "keygen", "serials", "cracked", "torrent", "malware", "phishing", "adserver", "popunder", "spammer",
+    "clickbait", "prize", "winner", "giveaway", "get-rich", "miracle", "free-money",
+)
+WANTED = (
+    "library", "museum", "archive", "university", "college", "school", "science", "physics", "chemistry", "biology", "astronomy", "geology", "history", "literature", "poetry", "grammar", "dictionary", "encyclopedia", "journal", "magazine", "newspaper",
+    "weather", "climate", "travel", "railway", "cycling", "hiking", "garden", "recipes", "cooking", "bakery", "theatre", "orchestra", "gallery", "photography", "painting", "architecture", "carpentry", "engineering", "software", "documentation",
+    "research", "hospital", "medicine", "parliament", "council", "statistics", "maps", "wildlife", "forest", "education", "information", "translation", "conservation", "foundation", "institute", "academy", "teacher", "student", "lecture", "philosophy",
+    "theology", "theorem", "algebra", "mathematics", "thermodynamics", "electronics", "radio", "television", "cinema", "festival", "concert", "choir", "guitar", "violin", "dance", "football", "tennis", "rowing", "athletics", "mountain", "river", "island",
+    "harbour", "lighthouse", "airport", "station", "transport", "traffic", "bridge", "castle", "village", "city", "heritage", "tradition", "folklore", "language", "spelling", "writing", "reading", "author", "novel", "publisher", "bookshop", "printing",
+    "pottery", "weaving", "knitting", "sewing", "woodwork", "farming", "orchard", "vineyard", "beekeeping", "fishing", "sailing", "veterinary", "nutrition", "fitness", "yoga", "parenting", "children", "family", "wedding", "charity", "volunteer",
+    "community", "parish", "court", "justice", "police", "fire-brigade", "election", "budget", "economy", "insurance", "energy", "solar", "recycling", "ocean", "fossils", "planets", "robotics", "compiler", "database", "network",
+)
+LAYOUTS = ("{}.com/", "www.{}-online.org/index.html", "my-{}.net/articles/2019/03/", "best.{}.info/page/2")
 
 
 class Rule(NamedTuple):
@@ -37,7 +50,7 @@ class Rule(NamedTuple):
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled URL table: (host and path, 1 if unwanted)."""
+    """The small labelled URL table: (host and path, 1 if unwanted). Every word is in it with every layout."""
     return [(layout.format(name), y) for names, y in ((UNWANTED, 1), (WANTED, 0)) for name in names for layout in LAYOUTS]
 
 

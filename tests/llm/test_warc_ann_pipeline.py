@@ -152,10 +152,23 @@ def test_unusable_vectors_ties_and_few(spark):
     rows = [(0, [1.0, 0.0, 2.0]), (20, [1.0, 0.0, 2.0]), (5, [1.0, 0.0, 2.0]), (5, [1.0, 0.0, 2.0]), (6, None), (7, [0.0, 0.0, 0.0]), (8, [nan, 1.0, 1.0]), (9, [inf, 1.0, 1.0]), (10, [None, 1.0, 1.0]), (11, [1.0]), (40, []), (None, [1.0, 1.0, 1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS code", "2 AS score")
     out = ann.search(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in out] == [(0, 1, 5, 5.0), (0, 2, 5, 5.0), (0, 3, 20, 5.0), (20, 1, 0, 5.0), (20, 2, 5, 5.0), (20, 3, 5, 5.0)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in out] == [(0, 1, 5, 5.0), (0, 2, 5, 5.0), (0, 3, 20, 5.0), (0, 4, 11, 1.0), (20, 1, 0, 5.0), (20, 2, 5, 5.0), (20, 3, 5, 5.0), (20, 4, 11, 1.0)]
     assert ann.search(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vectors_of_several_lengths_and_a_repeated_query(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=5 + i % 3).astype(np.float32).tolist()) for i in range(400)] + [(20, [9.0, 1.0, 0.0]), (20, [9.0, 0.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = ann.search(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    pad = [(i, np.float64([*v, 0, 0, 0, 0][:7])) for i, v in rows]
+    for q in range(0, 400, 20):
+        mine = min(list(v) for i, v in pad if i == q)  # the least of a repeated id's vectors asks
+        want = sorted((-float(np.dot(mine, v)), i) for i, v in pad if i != q)[:20]
+        got = [r for r in out if r.query_id == q]
+        assert [r.vec_id for r in got] == [i for _, i in want] and np.allclose([-r.score for r in got], [s for s, _ in want])
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16)).astype(np.float32)
