@@ -20,16 +20,21 @@ _own_dirs: dict[str, str] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the batches that go to Python workers small, so that an executor's memory does not depend on the texts."""
+    """Keep the batches that go to Python workers small, so that an executor's memory does not depend on the texts.
+
+    This sets the session's Arrow limits for good: they are read when a plan runs, which is after this returns.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where unset in local mode (tests)."""
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="coredust-")
         _own_dirs[app] = found
     return f"{found.rstrip('/')}/coredust-{app}"

@@ -1,10 +1,12 @@
 """Quality rules: fixed base rules, then robust multivariate outliers (DataFrame functions only).
 
 For every language and source, a regularised minimum-covariance-determinant estimate is made of the transformed text
-statistics: from the medians and quartile ranges (exact, by histogram), concentration steps keep the ``SUPPORT`` share of
-rows with the smallest Mahalanobis distances and refit mean and covariance until ``STEPS`` are done. Each step is one
-aggregation over (group, distance bucket): the buckets carry the moments, so neither the quantile of the distances nor
-the refit needs the rows of a group together, however large a group is. Rows beyond ``CUTOFF`` are rejected.
+statistics. From each of several starts (the medians and quartile ranges, exact by histogram, and the moments of the
+``STARTS`` shares of rows nearest to them) concentration steps keep the ``SUPPORT`` share of rows with the smallest
+Mahalanobis distances and refit mean and covariance until ``STEPS`` are done; the start that ends with the least
+determinant is taken. Each step is one aggregation over (group, start, distance bucket): the buckets carry the moments,
+so neither the quantile of the distances nor the refit needs the rows of a group together, however large a group is. Rows
+beyond ``CUTOFF`` are rejected.
 
 Edge cases: a null or empty text has no words and fails the base rules; null lang and source form groups of their own;
 groups with fewer than ``MIN_GROUP`` fitting rows are judged by the estimate over all fitting rows of their language, or of
@@ -23,6 +25,7 @@ from ._common import SPACE, materialize
 
 WINDOW = 5
 SUPPORT = 0.75
+STARTS = (0.5, 1.0)
 STEPS = 4
 MIN_GROUP = 60
 #: Squared distance beyond which a row is rejected: above the 0.99999 quantile of chi-square with five degrees of freedom
@@ -74,6 +77,8 @@ def features() -> dict[str, Column]:
 
 #: What an estimate is made for: level 0 is a language and source, 1 a language (null source), 2 the table (both null).
 KEY = ("level", "lang", "source")
+#: One estimate under way: the start tells those of a KEY apart.
+FIT = (*KEY, "start")
 PAIRS = list(combinations_with_replacement(range(len(FEATURES)), 2))
 
 
@@ -90,7 +95,7 @@ def _start(rows: DataFrame) -> DataFrame:
     pick = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
     cols = [pick(i, "q2").alias(f"m{i}") for i in range(len(FEATURES))]
     cols += [(pick(i, "sd") * pick(i, "sd") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return per.groupBy(*KEY).agg(F.max("n").alias("n"), *cols)
+    return per.groupBy(*KEY).agg(F.max("n").alias("n"), *cols).withColumn("start", F.lit(0))
 
 
 def _factored(est: DataFrame) -> DataFrame:
@@ -100,32 +105,33 @@ def _factored(est: DataFrame) -> DataFrame:
         new = {f"l{j}{j}": F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{p}") * F.col(f"l{j}{p}") for p in range(j)), F.lit(0.0)), F.lit(1e-9)))}
         est = est.withColumns(new)
         est = est.withColumns({f"l{i}{j}": (F.col(f"c{j}{i}") - sum((F.col(f"l{i}{p}") * F.col(f"l{j}{p}") for p in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, k)} or {"_": F.lit(0)})
-    return est.select(*KEY, *(f"m{i}" for i in range(k)), *(f"l{i}{j}" for i in range(k) for j in range(i + 1)))
+    return est.select(*FIT, *(f"m{i}" for i in range(k)), *(f"l{i}{j}" for i in range(k) for j in range(i + 1)))
 
 
 def _distances(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """Rows with their squared Mahalanobis distance d2 from the estimate of their KEY, null where there is none."""
+    """Rows with their squared Mahalanobis distance d2 from each estimate of their KEY, null where there is none."""
     right = est.withColumnsRenamed({c: f"_{c}" for c in KEY})
+    keep = rows.columns + [c for c in ("start",) if c in est.columns]
     same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
     out = rows.join(right, same("level") & same("lang") & same("source"), "left")
     for i, name in enumerate(FEATURES):
         out = out.withColumn(f"y{i}", (F.col(name) - F.col(f"m{i}") - sum((F.col(f"l{i}{p}") * F.col(f"y{p}") for p in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(FEATURES))), F.lit(0.0))).select(*rows.columns, "d2")
+    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(FEATURES))), F.lit(0.0))).select(*keep, "d2")
 
 
-def _concentrated(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the SUPPORT share with the smallest distances, floors added."""
+def _concentrated(rows: DataFrame, est: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """One concentration step: mean and covariance of the ``support`` share with the smallest distances, floors added."""
     d = _distances(rows, est).filter(F.col("d2").isNotNull()).withColumn("b", F.floor(F.log1p("d2") / DISTANCE_BIN))
     sums = [F.sum(n).alias(f"s{i}") for i, n in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in PAIRS]
-    per = d.groupBy(*KEY, "b").agg(F.count(F.lit(1)).alias("n"), *sums)
-    whole = Window.partitionBy(*KEY)
+    per = d.groupBy(*FIT, "b").agg(F.count(F.lit(1)).alias("n"), *sums)
+    whole = Window.partitionBy(*FIT)
     per = per.withColumn("before", F.coalesce(F.sum("n").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(whole))
-    kept = per.filter(F.col("before") < F.col("all") * SUPPORT)
-    tot = kept.groupBy(*KEY).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [f"s{i}" for i in range(len(FEATURES))] + [f"p{i}{j}" for i, j in PAIRS]))
+    kept = per.filter(F.col("before") < F.col("all") * support)
+    tot = kept.groupBy(*FIT).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [f"s{i}" for i in range(len(FEATURES))] + [f"p{i}{j}" for i, j in PAIRS]))
     mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(len(FEATURES))}
     tot = tot.withColumns(mean)
     cov = {f"c{i}{j}": F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOORS[FEATURES[i]] ** 2 if i == j else 0.0) for i, j in PAIRS}
-    return tot.withColumns(cov).select(*KEY, "n", *mean, *cov)
+    return tot.withColumns(cov).select(*FIT, "n", *mean, *cov)
 
 
 def _levels(rows: DataFrame) -> DataFrame:
@@ -151,11 +157,18 @@ def _keyed(rows: DataFrame, level: str) -> DataFrame:
 
 def fit(rows: DataFrame) -> DataFrame:
     """One row a KEY with the factored estimate, from rows with the features."""
-    # Every step runs once and is written: at most one row a group, far below any broadcast limit unless groups abound.
-    est = materialize(_factored(_start(rows)), "mcd")
+    # Every step runs once and is written: at most a row a group and start, far below any broadcast limit unless groups abound.
+    first = materialize(_factored(_start(rows)), "mcd")
+    est = first
+    for i, share in enumerate(STARTS, 1):
+        est = est.unionByName(_factored(_concentrated(rows, first, share)).withColumn("start", F.lit(i)))
+    est = materialize(est, "mcd")
     for _ in range(STEPS):
         est = materialize(_factored(_concentrated(rows, est)), "mcd")
-    return est
+    spread = sum((F.log(f"l{i}{i}") for i in range(len(FEATURES))), F.lit(0.0))
+    whole = [c for c in est.columns if c not in KEY]
+    best = est.withColumn("_v", F.round(spread, 9)).groupBy(*KEY).agg(F.min_by(F.struct(*whole), F.struct("_v", "start")).alias("x"))
+    return best.select(*KEY, "x.*").drop("start")
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -41,13 +41,19 @@ def slow_mcd(everything, use):
     hist = lambda v, q: (math.floor(np.sort(v)[math.ceil(len(v) * q) - 1] / qr.BIN) + 0.5) * qr.BIN
     m = np.array([hist(x[:, i], 0.5) for i in range(x.shape[1])])
     sd = np.maximum([(hist(x[:, i], 0.75) - hist(x[:, i], 0.25)) / 1.349 for i in range(x.shape[1])], floor)
-    c = np.diag(sd**2)
-    for _ in range(qr.STEPS):
+
+    def step(m, c, share):
         d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
         b = np.floor(np.log1p(d) / qr.DISTANCE_BIN)
-        edge = np.sort(b)[math.ceil(len(x) * qr.SUPPORT) - 1]
-        k = x[b <= edge]
-        m, c = k.mean(0), np.cov(k.T, bias=True) + np.diag(floor**2)
+        k = x[b <= np.sort(b)[math.ceil(len(x) * share) - 1]]
+        return k.mean(0), np.cov(k.T, bias=True) + np.diag(floor**2)
+
+    start, ends = (m, np.diag(sd**2)), []
+    for at in (start, *(step(*start, share) for share in qr.STARTS)):
+        for _ in range(qr.STEPS):
+            at = step(*at, qr.SUPPORT)
+        ends.append(at)
+    m, c = min(ends, key=lambda at: round(np.linalg.slogdet(at[1])[1] / 2, 9))
     return np.einsum("ij,jk,ik->i", everything - m, np.linalg.inv(c), everything - m)
 
 
@@ -140,6 +146,22 @@ def test_training_against_numpy(spark, model):
     assert (((b + x @ w) > 0) == y).mean() > 0.97
 
 
+def accuracy(spark, trained, asked):
+    from pyspark.sql import functions as F
+
+    model = uf.train(spark, trained)
+    d = spark.createDataFrame([("http://" + u, y) for u, y in asked], "url string, y int")
+    got = d.select("y", uf.probability(uf.host_of(F.col("url")), uf.path_of(F.col("url")), model).alias("p")).collect()
+    return sum((r.p >= 0.5) == (r.y == 1) for r in got) / len(got)
+
+
+def test_accuracy_on_what_was_held_out(spark):
+    """Hosts with the table's words in other layouts are judged well; words that are not in it only better than by chance."""
+    rows = lambda keep, layouts: [(lay.format(w), y) for ws, y in ((uf.UNWANTED, 1), (uf.WANTED, 0)) for i, w in enumerate(ws) if keep(i) for lay in layouts]
+    assert accuracy(spark, uf.labelled_urls(), rows(lambda i: True, ("shop.{}.example.org/en/44", "{}-world.net/de/", "the-{}.example.com/a/b.html"))) > 0.95
+    assert accuracy(spark, rows(lambda i: i % 5 != 2, uf.LAYOUTS), rows(lambda i: i % 5 == 2, uf.LAYOUTS)) > 0.6
+
+
 def test_very_long_url(spark, model):
     d = spark.createDataFrame([(1, "http://h/" + "a/" * 100_000), (2, "")], "page_id long, url string")
     assert uf.filter_urls(d, RULES, model).count() == 2
