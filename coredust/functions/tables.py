@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a temporary folder where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``, or below a temporary folder where that is unset in local mode (tests)."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="coredust-"))
     return f"{root.rstrip('/')}/coredust-{app}/{name}-{uuid.uuid4().hex}"
 

@@ -37,33 +37,53 @@ def listed_not_found(listed: DataFrame, found: DataFrame, key: str) -> DataFrame
     return listed.join(found.select(key).distinct(), key, "left_anti")
 
 
-def _by_bucket(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float, inclusive: bool, how: str) -> DataFrame:
-    """Join points to the ranges that hold them, as an equality join on buckets of ``width``.
+def _held(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float, inclusive: bool, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a point and a range that holds it, each once, as an equality join on (``by``, level, bucket).
 
-    A range is repeated for the buckets it touches, so ``width`` should be about the usual range length.
+    Buckets are ``width`` wide at level 0 and twice as wide at each next level. A range is looked up at the level whose
+    buckets are about its length, so it touches two or three of them however long it is, and a point at each level that
+    any range has: at most 64, and one where all ranges are of the usual length.
     """
-    b = lambda c: F.floor(F.col(c) / width).cast("long")
-    r = ranges.withColumn("_b", F.explode(F.sequence(b(lo), F.greatest(b(lo), b(hi)))))
-    p = points.withColumn("_pb", b(at))
+    whole = dict(ranges.dtypes)[lo] == dict(ranges.dtypes)[hi] == dict(points.dtypes)[at] == "bigint" and float(width).is_integer() and int(width) & (int(width) - 1) == 0
+    bits = int(width).bit_length() - 1 if whole else 0
+
+    def bucket(c: str, level: Column) -> Column:
+        if whole:  # addresses may be too large for the arithmetic of doubles
+            return F.call_function("shiftright", F.col(c), F.least(level + bits, F.lit(62)).cast("int"))
+        return F.floor(F.col(c) / (width * F.pow(F.lit(2.0), level))).cast("long")
+
+    length = F.greatest(F.col(hi).cast("double") - F.col(lo).cast("double"), F.lit(float(width))) / width
+    r = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_l", F.least(F.ceil(F.log2(length)).cast("int"), F.lit(62 - bits)))
+    levels = r.agg(F.collect_set("_l").alias("_ls"))  # one row, at most 64 levels
+    r = r.withColumn("_b", F.explode(F.sequence(bucket(lo, F.col("_l")), bucket(hi, F.col("_l")))))
+    r = r.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    q = points.filter(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_pl", F.explode("_ls")).drop("_ls")
+    q = q.withColumn("_pb", bucket(at, F.col("_pl")))
     inside = (F.col(at) >= F.col(lo)) & ((F.col(at) <= F.col(hi)) if inclusive else (F.col(at) < F.col(hi)))
-    return p.join(r, (F.col("_pb") == F.col("_b")) & inside, how).drop("_b", "_pb")
+    same = [F.col(c) == F.col(f"_by_{c}") for c in by]
+    both = (F.col("_pl") == F.col("_l")) & (F.col("_pb") == F.col("_b")) & inside
+    for x in same:
+        both = x & both
+    return q.join(r, both).drop("_l", "_b", "_pl", "_pb", *(f"_by_{c}" for c in by))
 
 
 def lookup_all(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
     """Every inclusive range that holds a point: a table entry against the modules that may own it."""
-    return _by_bucket(points, at, ranges, lo, hi, width, True, "inner")
+    return _held(points, at, ranges, lo, hi, width, True)
 
 
-def lookup_first(points: DataFrame, key: str, at: str, ranges: DataFrame, lo: str, hi: str, order: str, name: str, width: float) -> DataFrame:
-    """The first half-open range (by ``order``) that holds each point, as ``name``; null if none does."""
-    hit = _by_bucket(points.select(key, at), at, ranges, lo, hi, width, False, "inner")
-    first = hit.groupBy(key).agg(F.min_by(name, order).alias(name))
-    return points.join(first, key, "left")
+def lookup_first(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, order: str, name: str, width: float, by: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
+    """The first range (by ``order``) that holds each point, as ``name``; null if none does. Half-open unless inclusive."""
+    keys = [*by, at]
+    r = ranges.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
+    hit = _held(points.select(*keys).distinct(), at, r, "_lo", "_hi", width, inclusive, by)
+    return points.join(hit.groupBy(*keys).agg(F.min_by("_name", "_order").alias(name)), keys, "left")
 
 
 def outside_ranges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
     """Points that no half-open range holds: code that belongs to no module."""
-    return _by_bucket(points, at, ranges, lo, hi, width, False, "left_anti")
+    hit = _held(points.select(at).distinct(), at, ranges.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), "_lo", "_hi", width, False)
+    return points.join(hit.select(at).distinct(), at, "left_anti")
 
 
 def last_before(points: DataFrame, marks: DataFrame, by: str, at: str, carry: str) -> DataFrame:
@@ -132,31 +152,47 @@ def chain_positions(links: DataFrame, node: str, after: str) -> DataFrame:
     return state.join(heads, "head", "left_semi").select(F.col("n").alias(node), "head", "place")
 
 
-def tree_paths(nodes: DataFrame, node: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(node, depth, path) of every node below a root, level by level; a root is its own parent's absence.
+def _key(c: str) -> Column:
+    """An id as text that sorts like the unsigned 64-bit value."""
+    return F.lpad(F.hex(F.col(c).cast("long")), 16, "0")
 
-    ``path`` holds the ancestors' zero-padded ids, so sorting by it lists the tree depth first. Each level is one join of
-    the frontier with all nodes; cycles have no root and fall away.
-    """
-    ids = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"))
-    known = ids.select(F.col("n").alias("p")).withColumn("_k", F.lit(True))
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
-    frontier = ids.join(known, "p", "left").filter("_k IS NULL OR p = n").select("n", F.lit(0).cast("long").alias("depth"), pad("n").alias("path"))
-    out = frontier = written(frontier, "tree")
-    for _ in range(max_depth):
-        up = frontier.select(F.col("n").alias("p"), "depth", "path")
-        frontier = written(ids.filter("p <> n").join(up, "p").select("n", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", pad("n")).alias("path")), "tree")
-        if frontier.isEmpty():
-            break
-        out = out.unionByName(frontier)
-    return out.withColumnRenamed("n", node)
 
+def tree_paths(nodes: DataFrame, node: str, parent: str, by: Sequence[str] = (), label: str | None = None, sep: str = "/") -> DataFrame:
+    """(by, node, depth, path) of every node below a root; a root has no parent, itself, or one that is not there.
 
-def with_ancestors(paths: DataFrame, node: str, hits: DataFrame) -> DataFrame:
+    Ids are unique within ``by`` (an image, say); of rows that repeat one, that with the least parent counts. ``path``
+    holds the ancestors' ids in 16 hex digits, so sorting by it lists each tree depth first. With ``label`` a column
+    ``names`` holds the labels along the path, joined by ``sep``.
+
+    Each round doubles the distance that every node has looked up, so depth d takes log2(d) joins. Nodes on cycles, or
+    below one, never see a root: a round in which no node does is the last, and they fall away.
+    """
+    by = list(by)
+    names = [F.col(label).cast("string").alias("names")] if label else []
+    ids = nodes.select(*by, F.col(node).alias("n"), F.struct(F.col(parent).alias("up"), *names).alias("x")).filter("n IS NOT NULL")
+    ids = ids.groupBy(*by, "n").agg(F.min("x").alias("x")).select(*by, "n", "x.*")
+    known = ids.select(*by, F.col("n").alias("up")).withColumn("_k", F.lit(True))
+    there = F.col("_k") & (F.col("up") != F.col("n"))
+    text = ["names"] if label else []
+    state = ids.join(known, [*by, "up"], "left").select(*by, "n", F.when(there, F.col("up")).alias("up"), F.when(there, 1).otherwise(0).cast("long").alias("depth"), _key("n").alias("path"), *text)
+    state = written(state, "tree")
+    done, open_ = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
+    while True:
+        far = done.unionByName(open_).select(*by, F.col("n").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("path").alias("_p"), *(F.col(c).alias("_n") for c in text))
+        step = open_.join(far, [*by, "up"]).select(*by, "n", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.concat_ws("/", "_p", "path").alias("path"), *(F.concat_ws(sep, "_n", "names").alias("names") for _ in text))
+        step = written(step, "tree")
+        found = step.filter("up IS NULL")
+        if found.isEmpty():
+            return done.drop("up").withColumnRenamed("n", node)
+        done, open_ = done.unionByName(found), step.filter("up IS NOT NULL")
+
+
+def with_ancestors(paths: DataFrame, node: str, hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Nodes to show when ``hits`` match: the hits and, as context, all their ancestors; ``is_context`` tells which."""
-    up = paths.join(hits.select(node), node, "left_semi").select(F.explode(F.split("path", "/")).alias("_s")).select(F.col("_s").cast("long").alias(node)).distinct()
-    hit = hits.select(node).distinct().withColumn("_h", F.lit(True))
-    return paths.join(up, node, "left_semi").join(hit, node, "left").select(node, "depth", F.col("_h").isNull().alias("is_context"))
+    keys = [*by, node]
+    up = paths.join(hits.select(*keys), keys, "left_semi").select(*by, F.explode(F.split("path", "/")).alias("_s")).select(*by, F.conv("_s", 16, -10).cast("long").alias(node)).distinct()
+    hit = hits.select(*keys).distinct().withColumn("_h", F.lit(True))
+    return paths.join(up, keys, "left_semi").join(hit, keys, "left").select(*keys, "depth", F.col("_h").isNull().alias("is_context"))
 
 
 def slots(df: DataFrame, count: int) -> DataFrame:

@@ -42,16 +42,38 @@ def top_and_other(counts: DataFrame, by: str, n: str, keep: int) -> DataFrame:
     return ranked.groupBy(F.when(F.col("_r") <= keep, F.col(by)).otherwise("other").alias(by)).agg(F.sum(n).alias(n))
 
 
+def _real(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value: neither null nor, in columns that can hold it, not a number."""
+    d = df.filter(F.col(value).isNotNull())
+    return d.filter(~F.isnan(value)) if dict(df.dtypes)[value] in ("double", "float") else d
+
+
 def nth_value(df: DataFrame, value: str, k: int, bins: int = 2048) -> float | None:
-    """The exact value at index ``k`` of the sorted column, null for an empty one.
+    """The exact value at index ``k`` of the sorted column, null for an empty one; infinities sort as such.
 
     Each round counts the values of a range in ``bins`` bins and goes on in the bin that holds the index, so the driver
     gets at most ``bins`` rows a round and no task sorts the column.
     """
-    d = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    d = _real(df, value)
+    kind = dict(df.dtypes)[value]
+    if kind in ("double", "float"):
+        inf = float("inf")
+        below, all_finite = d.agg(F.count_if(F.col(value) == -inf), F.count_if(F.abs(value) < inf)).first()
+        if k < below:
+            return -inf
+        k -= below
+        if k >= all_finite:
+            return inf if k < all_finite + d.filter(F.col(value) == inf).count() else None
+        d = d.filter(F.abs(value) < inf)
+
+        def place(lo: float, hi: float) -> Column:
+            by = 1.0 if hi - lo < inf else 4.0  # the span of two finite values need not be finite
+            return (F.col(value) / by - lo / by) / (hi / by - lo / by) * bins
+    else:
+        place = lambda lo, hi: (F.col(value) - F.lit(lo)) * bins / (F.lit(hi) - F.lit(lo))
     lo, hi = d.agg(F.min(value), F.max(value)).first()
     while lo is not None and lo != hi:
-        b = F.least(F.floor((F.col(value) - F.lit(lo)) * bins / (F.lit(hi) - F.lit(lo))), F.lit(bins - 1))
+        b = F.least(F.floor(place(lo, hi)), F.lit(bins - 1))
         rows = d.filter(F.col(value).between(lo, hi)).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
         for r in sorted(rows, key=lambda r: r["b"]):
             if k < r["n"]:
@@ -60,7 +82,6 @@ def nth_value(df: DataFrame, value: str, k: int, bins: int = 2048) -> float | No
             k -= r["n"]
         else:
             return None
-        d = d.filter(F.col(value).between(lo, hi))
     return lo
 
 
@@ -69,7 +90,7 @@ def focus(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995, sh
 
     A quantile q is the value at index int((n - 1) * q).
     """
-    n, a, z = df.filter(F.col(value).isNotNull()).agg(F.count(value), F.min(value), F.max(value)).first()
+    n, a, z = _real(df, value).agg(F.count(value), F.min(value), F.max(value)).first()
     ends = [nth_value(df, value, int((n - 1) * q)) for q in (low, high)] if n else [None, None]
     narrow = n > 0 and ends[1] - ends[0] < (z - a) * share
     lo, hi = ends if narrow else (a, z)

@@ -100,17 +100,17 @@ def compare_mark(t):
 
 # --- address lookups ----------------------------------------------------------------------------------------------
 
-BANDS = "bands AS (SELECT p_partkey AS band, p_retailprice * 400 - 360000 + 20000 AS lo, p_retailprice * 400 - 360000 + 20000 + p_size * 100 AS hi FROM part WHERE p_partkey % 3 = 0)"
+BANDS = "bands AS (SELECT p_partkey AS band, p_retailprice * 400 - 360000 + 20000 AS lo, p_retailprice * 400 - 360000 + 20000 + p_size * 100 AS hi FROM part)"
 
 
 def _bands(t):
     base = F.col("p_retailprice") * 400 - 360000 + 20000
-    return t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("band"), base.alias("lo"), (base + F.col("p_size") * 100).alias("hi"))
+    return t.part.select(F.col("p_partkey").alias("band"), base.alias("lo"), (base + F.col("p_size") * 100).alias("hi"))
 
 
 @query(f"WITH {BANDS} SELECT o_orderkey, o_totalprice, (SELECT min(band) FROM bands WHERE o_totalprice >= lo AND o_totalprice < hi) AS band FROM orders")
 def module_lookup_first(t):
-    return relational.lookup_first(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", _bands(t), "lo", "hi", "band", "band", 2500)
+    return relational.lookup_first(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", _bands(t), "lo", "hi", "band", "band", 2500)
 
 
 @query(f"WITH {BANDS} SELECT o_orderkey, o_totalprice, band, lo, hi FROM orders JOIN bands ON o_totalprice BETWEEN lo AND hi")
@@ -133,9 +133,9 @@ def symbol_asof(t):
 
 
 @query("""
-SELECT o.o_orderkey, n.p_partkey, n.p_name FROM orders o JOIN part n ON n.p_partkey = o.o_orderkey // 4 * 4 AND o.o_orderkey - n.p_partkey <= n.p_size % 4""")
+SELECT o.o_orderkey, n.p_partkey, n.p_name FROM orders o JOIN part n ON o.o_orderkey BETWEEN n.p_partkey AND n.p_partkey + n.p_size % 4""")
 def symbols_at(t):
-    p = t.part.select("p_partkey", "p_name", F.col("p_partkey").alias("lo"), (F.col("p_partkey") + F.col("p_size") % 4).alias("hi")).filter("p_partkey % 4 = 0")
+    p = t.part.select("p_partkey", "p_name", F.col("p_partkey").alias("lo"), (F.col("p_partkey") + F.col("p_size") % 4).alias("hi"))
     return relational.lookup_all(t.orders.select("o_orderkey"), "o_orderkey", p, "lo", "hi", 4).select("o_orderkey", "p_partkey", "p_name")
 
 
@@ -186,8 +186,8 @@ def dedupe_first(t):
 
 TREE = """
 RECURSIVE tr AS (
-  SELECT o_orderkey AS id, CAST(0 AS BIGINT) AS depth, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS path FROM orders WHERE o_orderkey = 0
-  UNION ALL SELECT o.o_orderkey, t.depth + 1, t.path || '/' || lpad(CAST(o.o_orderkey AS VARCHAR), 12, '0') FROM orders o JOIN tr t ON o.o_orderkey // 2 = t.id AND o.o_orderkey > 0)"""
+  SELECT o_orderkey AS id, CAST(0 AS BIGINT) AS depth, printf('%016X', o_orderkey) AS path FROM orders WHERE o_orderkey = 0
+  UNION ALL SELECT o.o_orderkey, t.depth + 1, t.path || '/' || printf('%016X', o.o_orderkey) FROM orders o JOIN tr t ON o.o_orderkey // 2 = t.id AND o.o_orderkey > 0)"""
 
 
 def _tree(t):
@@ -200,6 +200,25 @@ def process_tree(t):
     return _tree(t)
 
 
+FORESTS = """
+RECURSIVE e AS (
+  SELECT 'a' AS image, o_orderkey AS id, o_orderkey // 2 AS up FROM orders UNION ALL SELECT 'b', -o_orderkey, -(o_orderkey // 3) FROM orders
+  UNION ALL SELECT 'c', o_custkey, CASE WHEN o_custkey % 10 = 1 THEN NULL ELSE o_custkey - 1 END FROM (SELECT DISTINCT o_custkey FROM orders)),
+tr AS (
+  SELECT image, id, CAST(0 AS BIGINT) AS depth, printf('%016X', id) AS path FROM e WHERE up IS NULL OR up = id OR NOT EXISTS (SELECT 1 FROM e AS x WHERE x.image = e.image AND x.id = e.up)
+  UNION ALL SELECT e.image, e.id, t.depth + 1, t.path || '/' || printf('%016X', e.id) FROM e JOIN tr t ON e.image = t.image AND e.up = t.id AND e.up <> e.id)"""
+
+
+@query(f"WITH {FORESTS} SELECT image, id, depth, path FROM tr")
+def process_forests(t):
+    """Trees of three images side by side, one with ids that are negative as a kernel's addresses are."""
+    o = t.orders
+    a = o.select(F.lit("a").alias("image"), F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 2).cast("long").alias("up"))
+    b = o.select(F.lit("b").alias("image"), (-F.col("o_orderkey")).alias("id"), (-F.floor(F.col("o_orderkey") / 3)).cast("long").alias("up"))
+    c = o.select("o_custkey").distinct().select(F.lit("c").alias("image"), F.col("o_custkey").alias("id"), F.when(F.col("o_custkey") % 10 != 1, F.col("o_custkey") - 1).alias("up"))
+    return relational.tree_paths(a.unionByName(b).unionByName(c), "id", "up", ["image"])
+
+
 @query(f"WITH {TREE} SELECT depth, count(*) AS n_rows, max(path) AS last_path FROM tr GROUP BY depth")
 def tree_depth_path(t):
     return _tree(t).groupBy("depth").agg(F.count(F.lit(1)).alias("n_rows"), F.max("path").alias("last_path"))
@@ -207,7 +226,7 @@ def tree_depth_path(t):
 
 @query(f"""
 WITH {TREE}, hit AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 495000),
-up AS (SELECT DISTINCT CAST(x AS BIGINT) AS id FROM (SELECT unnest(string_split(path, '/')) AS x FROM tr JOIN hit USING (id)))
+up AS (SELECT DISTINCT CAST('0x' || x AS BIGINT) AS id FROM (SELECT unnest(string_split(path, '/')) AS x FROM tr JOIN hit USING (id)))
 SELECT tr.id, depth, tr.id NOT IN (SELECT id FROM hit) AS is_context FROM tr JOIN up ON tr.id = up.id""")
 def tree_filter_context(t):
     return relational.with_ancestors(_tree(t), "id", t.orders.filter("o_totalprice > 495000").select(F.col("o_orderkey").alias("id")))
@@ -263,21 +282,22 @@ def absent_reasons(t):
     return t.orders.select("o_orderkey", price.alias("price"), reasons.alias("reason"))
 
 
-@query("SELECT d.doc_id, 'passage' AS pattern, CAST(i - 1 AS BIGINT) AS hit_offset FROM (SELECT doc_id, text, unnest(range(1, length(text) - 3)) AS i FROM documents WHERE strlen(text) = length(text)) d WHERE substr(text, i, 5) = 'ation'")
+@query("""
+WITH p AS (SELECT doc_id, rn, unnest(string_split(text, 'ation')) AS part, generate_subscripts(string_split(text, 'ation'), 1) AS i, len(string_split(text, 'ation')) AS n FROM (SELECT *, row_number() OVER () AS rn FROM documents))
+SELECT doc_id, 'passage' AS pattern, hit_offset FROM (
+  SELECT doc_id, i, n, CAST(sum(strlen(part) + 5) OVER (PARTITION BY rn ORDER BY i) - 5 AS BIGINT) AS hit_offset FROM p) WHERE i < n""")
 def chunk_scan_literal(t):
-    docs = t.documents.filter("octet_length(text) = length(text)")
-    return scan.scan(scan.chunked(docs, "doc_id", "text", 1024, 16), "doc_id", {"passage": b"ation"}, 1024)
+    """Byte offsets in all texts. The literal cannot overlap itself, so splitting by it finds the same places."""
+    return scan.scan(scan.chunked(t.documents, "doc_id", "text", 1024, 16), "doc_id", {"passage": b"ation"}, 1024)
 
 
 @query(r"""
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(length(w)) AS BIGINT) AS hit_chars FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS w FROM documents WHERE strlen(text) = length(text)) GROUP BY doc_id""")
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(length(w)) AS BIGINT) AS hit_chars FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS w FROM documents) GROUP BY doc_id""")
 def chunk_scan_regex(t):
-    docs = t.documents.filter("octet_length(text) = length(text)").select("doc_id", "text")
-    chunks = scan.chunked(docs, "doc_id", "text", 2048, 512)
-    hits = scan.scan(chunks, "doc_id", {"word": rb"[A-Z][a-z]+"}, 2048, regex=True)
-    word = F.regexp_extract(F.expr("substring(text, cast(hit_offset + 1 as int), 512)"), "^[A-Z][a-z]+", 0)
-    return hits.join(docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"), F.sum(F.length(word)).cast("long").alias("hit_chars"))
+    """A word of any length that the data holds: matches go on from chunk to chunk, up to the overlap."""
+    chunks = scan.chunked(t.documents, "doc_id", "text", 1 << 14, 1 << 14)
+    hits = scan.regex_scan(chunks, ["doc_id"], {"word": rb"[A-Z][a-z]+"}, 1 << 14, 1 << 14)
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("hit_bytes").cast("long").alias("hit_chars"))
 
 
 _COUNTS = ", ".join(f"CAST((strlen(text) - strlen(replace(text, '{s}', ''))) // {len(s)} AS BIGINT) AS n_{n}" for n, s in (("a", "http"), ("b", "ing "), ("c", " | ")))
@@ -291,7 +311,7 @@ def rule_scan(t):
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def strings_owner(t):
     b = t.benchmark.select("item_id", F.col("text").alias("passage"))
-    return scan.owners(b, "passage", t.documents.select("doc_id", "text"), "text").select("item_id", "doc_id")
+    return scan.owners(b, "passage", t.documents.select("doc_id", "text"), "text", "doc_id").select("item_id", "doc_id")
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '/([a-z][a-z])/', 1) AS lang, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS number FROM pages")

@@ -111,10 +111,13 @@ def carved_tasks(chunks: DataFrame, layout: Layout, classes: Sequence[int], size
 
 
 def open_images(spark: SparkSession, images: Sequence[Mapping], kinds: Sequence[str], folder: str | None = None) -> Session:
-    """A session over images, each a mapping with image, path, layout_path, dtb and shift."""
+    """A session over images, each a mapping with image, path, layout_path, dtb and shift.
+
+    Chunks come from the same files under the same image names; with ``folder`` from its files, under their own names.
+    """
     rows = spark.createDataFrame([(i["image"], i["path"], i["layout_path"], i["dtb"], i.get("shift", 0)) for i in images], "image string, path string, layout_path string, dtb long, shift long")
     tables = {k: walked(spark, rows, k) for k in kinds}
-    tables["chunks"] = read_image(spark, folder or images[0]["path"])
+    tables["chunks"] = read_image(spark, folder) if folder else read_image(spark, images=[(i["image"], i["path"]) for i in images])
     return Session(spark, tables)
 
 

@@ -6,17 +6,17 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules as byte_rules
-from ..operators import timeline
+from ..operators import scan, timeline
 from .session import ALIASES, OPERATORS, Session, operator, schemas
 
 CHUNK, OVERLAP = 1 << 20, 4096
 
 schemas(
-    chunks="layer string, start long, bytes binary",
+    chunks="layer string, start long, size long, bytes binary",
     layers="ord int, name string, type string, key string, value string",
     isf_files="uri string, content string",
     phys_owner="page long, owner string, virt long",
@@ -28,46 +28,57 @@ BANNERS = rb"(Linux version|Darwin Kernel Version) [0-9]+\.[0-9]+\.[0-9]+[^\x00]
 
 
 def text_hits(df: DataFrame, keep: Sequence[str], start: str, data: str, pattern: bytes, maxsize: int) -> DataFrame:
-    """Hits of a byte regular expression that start within a row's bytes, with the text matched again in ``maxsize`` bytes."""
-    first, again = re.compile(pattern, re.DOTALL), re.compile(pattern)
+    """(keep, offset, text, hex) of the matches of a byte regular expression in each row's bytes, none over ``maxsize``."""
+    compiled = re.compile(pattern, re.DOTALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, at, text, raw = [], [], [], []
+            rows, at, raw = [], [], []
             for i in range(b.num_rows):
                 whole = b.column(len(keep) + 1)[i].as_py() or b""
                 base = b.column(len(keep))[i].as_py()
-                for m in first.finditer(whole):
-                    part = whole[m.start() : m.start() + maxsize]
-                    exact = again.match(part)
+                for first, end in scan.matches(compiled, whole, 0, len(whole) + 1, maxsize):
                     rows.append(i)
-                    at.append(base + m.start())
-                    text.append((exact.group() if exact else part).decode("utf-8", "replace"))
-                    raw.append(exact.group() if exact else part)
+                    at.append(base + first)
+                    raw.append(whole[first:end])
             ix = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(ix) for k in range(len(keep))), pa.array(at, pa.int64()), pa.array(text, pa.string()), pa.array(raw, pa.binary())], names=[*keep, "offset", "text", "hex"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(ix) for k in range(len(keep))), pa.array(at, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in raw], pa.string()), pa.array(raw, pa.binary())], names=[*keep, "offset", "text", "hex"])
 
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, start, data).mapInArrow(run, f"{fields}, offset long, text string, hex binary")
 
 
+def proper() -> Column:
+    """Bytes of a chunk without its overlap; a chunk that does not say is one by itself."""
+    return F.coalesce("size", F.length("bytes"))
+
+
 def layer(s: Session, name: str = "primary") -> DataFrame:
     """Chunks of a layer, each with the first ``OVERLAP`` bytes of the next one."""
     return s.table("chunks").filter(F.col("layer") == name)
 
 
-def _proper(hits: DataFrame, s: Session) -> DataFrame:
-    return hits.dropDuplicates(["image", "offset", "text"])
+def layer_hits(s: Session, pattern: bytes, maxsize: int, grab: int = 0) -> DataFrame:
+    """(image, offset, hex) of the matches of a byte regular expression in the primary layer of every image."""
+    chunks = layer(s)
+    if chunks.isEmpty():
+        return chunks.select("image", F.col("start").alias("offset"), F.col("bytes").alias("hex"))
+    return scan.regex_scan(chunks, ["image"], {"p": pattern}, maxsize, proper(), grab=grab).select("image", "offset", "hex")
+
+
+def _text(hits: DataFrame) -> DataFrame:
+    """With the bytes as text; what is not UTF-8 is replaced."""
+    return hits.select("image", "offset", F.make_valid_utf8(F.decode("hex", "UTF-8")).alias("text"), "hex")
 
 
 @operator("banners.Banners")
 def banners(s):
-    return _proper(text_hits(layer(s), ["image"], "start", "bytes", BANNERS, 512), s).select("image", "offset", F.col("text").alias("banner"))
+    return _text(layer_hits(s, BANNERS, 512)).select("image", "offset", F.col("text").alias("banner"))
 
 
 @operator("regexscan.RegExScan")
 def regexscan(s, pattern=b".", maxsize=128):
-    return _proper(text_hits(layer(s), ["image"], "start", "bytes", pattern, maxsize), s)
+    return _text(layer_hits(s, pattern, maxsize))
 
 
 @operator("yarascan.YaraScan")
@@ -106,6 +117,7 @@ def vadregexscan(s, pattern=b".", pid=None, maxsize=128):
 @operator("windows.strings.Strings")
 def strings(s, pid=None):
     """Lines ``offset text`` with the owners of the physical page they lie in."""
+    # What a line is: fixed value, the format that such files have. A decimal offset, then text that starts with a word character.
     e = lambda i: F.regexp_extract("line", r"^(?:\W*)([0-9]+)(?:\W*)(\w[\w\W]+)\n?", i)
     d = s.table("strings_lines").select("image", e(2).alias("string"), e(1).cast("long").alias("physical")).filter("string <> ''").withColumn("page", F.floor(F.col("physical") / 4096).cast("long"))
     owners = s.table("phys_owner")
@@ -118,7 +130,8 @@ def strings(s, pid=None):
 def truecrypt(s, min_length=5):
     """A little-endian length L of min_length..64, L printable bytes and three zeros."""
     pattern = b"|".join(re.escape(bytes([n, 0, 0, 0])) + b"[\\x20-\\x7e]{%d}\\x00{3}" % n for n in range(min_length, 65))
-    d = text_hits(layer(s), ["image"], "start", "bytes", pattern, 71).filter(F.col("offset") % 4 == 0).dropDuplicates(["image", "offset"])
+    # A look-ahead, so that a match out of line does not hide one in line behind it.
+    d = layer_hits(s, b"(?=" + pattern + b")", 71, grab=71).filter(F.col("offset") % 4 == 0)
     n = F.conv(F.hex(F.substring("hex", 1, 1)), 16, 10).cast("int")
     return d.select("image", "offset", n.alias("length"), F.substring("hex", F.lit(5), n).cast("string").alias("password"))
 
@@ -128,10 +141,8 @@ def mbrscan(s):
     """Sectors that end in 55 AA and have boot code: a header row and its four partitions."""
     from ..functions import scalars
 
-    hit = text_hits(layer(s), ["image"], "start", "bytes", rb"(?=.{510}\x55\xaa)", 512).filter(F.col("offset") % 512 == 0)
-    d = layer(s).select("image", F.col("start").alias("_s"), "bytes").join(hit.select("image", "offset"), "image").filter("offset >= _s AND offset + 512 <= _s + length(bytes)").dropDuplicates(["image", "offset"])
-    sector = F.substring("bytes", (F.col("offset") - F.col("_s") + 1).cast("int"), F.lit(512))
-    d = d.select("image", "offset", sector.alias("raw")).filter(F.substring("raw", 1, 440) != F.lit(b"\0" * 440))
+    d = layer_hits(s, rb"(?=.{510}\x55\xaa)", 512, grab=512).filter(F.col("offset") % 512 == 0)
+    d = d.select("image", "offset", F.col("hex").alias("raw")).filter(F.substring("raw", 1, 440) != F.lit(b"\0" * 440))
     part = lambda i: F.struct(F.lit(i + 1).alias("partition"), (scalars.uint(F.col("raw"), 446 + 16 * i, 1) == 0x80).alias("bootable"), scalars.uint(F.col("raw"), 450 + 16 * i, 1).alias("type"), scalars.uint(F.col("raw"), 454 + 16 * i, 4).alias("starting_lba"), scalars.uint(F.col("raw"), 458 + 16 * i, 4).alias("sectors"))
     head = F.struct(F.lit(0).alias("partition"), *(F.lit(None).cast(k).alias(n) for n, k in (("bootable", "boolean"), ("type", "long"), ("starting_lba", "long"), ("sectors", "long"))))
     sig = F.concat_ws("-", *(F.lower(F.hex(F.substring("raw", 441 + i, 1))) for i in range(4)))
@@ -156,7 +167,7 @@ def vmscan(s, revisions=(0x10, 0x12, 0x04, 0x0E)):
     """Pages that start with a known VMCS revision id and hold a plausible link pointer."""
     from ..functions import scalars
 
-    pages = layer(s).select("image", "start", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.length("bytes"), F.lit(CHUNK)) - 4096, F.lit(0)), F.lit(4096))).alias("o"))
+    pages = layer(s).select("image", "start", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(proper().cast("int") - 4096, F.lit(0)), F.lit(4096))).alias("o"))
     page = pages.select("image", (F.col("start") + F.col("o")).alias("offset"), F.substring("bytes", F.col("o") + 1, F.lit(4096)).alias("page")).filter(F.length("page") == 4096)
     p = F.col("page")
     return page.filter(scalars.uint(p, 0, 4).isin(*revisions) & (scalars.uint(p, 4, 4) == 0)).select("image", F.lit("Intel64").alias("architecture"), F.col("offset").alias("vmcs_offset"), F.expr("locate(unhex('FFFFFFFFFFFFFFFF'), page)").alias("_l")).filter("_l > 0").drop("_l").dropDuplicates(["image", "vmcs_offset"])
@@ -165,7 +176,7 @@ def vmscan(s, revisions=(0x10, 0x12, 0x04, 0x0E)):
 @operator("layerwriter.LayerWriter")
 def layerwriter(s, path=None, layers=("primary",)):
     """Write the chunks of layers, without their overlap, as Parquet by layer; returns what was written."""
-    d = s.table("chunks").filter(F.col("layer").isin(*layers)).withColumn("bytes", F.substring("bytes", 1, CHUNK))
+    d = s.table("chunks").filter(F.col("layer").isin(*layers)).withColumn("bytes", F.substring("bytes", F.lit(1), proper().cast("int")))
     if path:
         d.write.mode("errorifexists").partitionBy("image", "layer").parquet(path)
     return d.groupBy("image", F.col("layer").alias("layer_name")).agg(F.sum(F.length("bytes")).cast("long").alias("n_bytes"), F.lit("written" if path else "listed").alias("status"))

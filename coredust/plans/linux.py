@@ -69,11 +69,11 @@ def pstree(s, pid=None, threads=False, decorate_comm=False):
     """Children in ascending tid order under their parent; with ``pid`` the tasks below those asked for."""
     d = _leaders(s, None, threads)
     up = d.select("image", "tid", F.when(F.col("pid") != F.col("tid"), F.col("pid")).otherwise(F.col("ppid")).alias("up"))
-    paths = relational.tree_paths(up, "tid", "up")
+    paths = relational.tree_paths(up, "tid", "up", ["image"])
     if pid is not None:
-        wanted = F.arrays_overlap(F.split("path", "/"), F.array(*(F.lpad(F.lit(str(p)), 12, "0") for p in (pid if isinstance(pid, (list, tuple)) else [pid]))))
+        wanted = F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(f"{p:016X}") for p in (pid if isinstance(pid, (list, tuple)) else [pid]))))
         paths = paths.filter(wanted)
-    return d.join(paths, "tid").select("image", "offset", "pid", "tid", "ppid", _comm(decorate_comm), "depth", F.col("path").alias("tree_path"))
+    return d.join(paths, ["image", "tid"]).select("image", "offset", "pid", "tid", "ppid", _comm(decorate_comm), "depth", F.col("path").alias("tree_path"))
 
 
 @operator("linux.psaux.PsAux")
@@ -318,7 +318,7 @@ def kmsg(s):
 @operator("linux.iomem.IOMem")
 def iomem(s):
     d = s.table("lin_resources")
-    return d.join(relational.tree_paths(d.select("node", "parent"), "node", "parent"), "node").filter("start IS NOT NULL AND end IS NOT NULL").select("image", "name", "start", "end", "depth", F.col("path").alias("tree_path"))
+    return d.join(relational.tree_paths(d, "node", "parent", ["image"]), ["image", "node"]).filter("start IS NOT NULL AND end IS NOT NULL").select("image", "name", "start", "end", "depth", F.col("path").alias("tree_path"))
 
 
 @operator("linux.ip.Addr")

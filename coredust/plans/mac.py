@@ -40,7 +40,7 @@ def pslist(s, pslist_method="tasks", pid=None):
 @operator("mac.pstree.PsTree")
 def pstree(s):
     d = _tasks(s, "tasks")
-    return d.join(relational.tree_paths(d.select("pid", "ppid"), "pid", "ppid"), "pid").select("image", "pid", "ppid", F.col("name").alias("comm"), "depth", F.col("path").alias("tree_path"))
+    return d.join(relational.tree_paths(d, "pid", "ppid", ["image"]), ["image", "pid"]).select("image", "pid", "ppid", F.col("name").alias("comm"), "depth", F.col("path").alias("tree_path"))
 
 
 @operator("mac.psaux.Psaux")
@@ -67,10 +67,8 @@ def lsof(s, pid=None):
 def list_files(s):
     """Full paths of vnodes, from the names along their parents."""
     v = s.table("mac_vnodes")
-    tree = relational.tree_paths(v.select("address", "parent"), "address", "parent", max_depth=256)
-    steps = tree.select("address", F.posexplode(F.split("path", "/")).alias("_i", "_s")).join(v.select(F.lpad(F.col("address").cast("string"), 12, "0").alias("_s"), "name"), "_s")
-    named = steps.groupBy("address").agg(F.concat(F.lit("/"), F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("_i", "name"))), lambda x: x["name"]), lambda x: x != ""), "/")).alias("file_path"))
-    return v.select("image", "address").join(named, "address").select("image", "address", "file_path")
+    tree = relational.tree_paths(v, "address", "parent", ["image"], "name")
+    return tree.select("image", "address", F.concat(F.lit("/"), F.regexp_replace("names", "^/+", "")).alias("file_path"))
 
 
 @operator("mac.malfind.Malfind")
@@ -109,7 +107,7 @@ def check_trap_table(s):
 def check_sysctl(s):
     """The sysctl tree with resolved handlers; sorting by ``post_order`` lists children before their parent."""
     d = s.table("mac_sysctls")
-    d = d.join(relational.tree_paths(d.select("node", "parent"), "node", "parent"), "node").withColumn("post_order", F.concat("path", F.lit("~")))
+    d = d.join(relational.tree_paths(d, "node", "parent", ["image"]), ["image", "node"]).withColumn("post_order", F.concat("path", F.lit("~")))
     return resolve(s, d, "handler", "mac_modules").select("image", "name", "number", "perms", "handler", "value", "module", "symbol", "depth", "post_order")
 
 

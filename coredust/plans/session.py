@@ -64,17 +64,15 @@ def only(df: DataFrame, column: str, values) -> DataFrame:
 def resolve(s: Session, df: DataFrame, at: str, modules: str, inclusive: bool = False) -> DataFrame:
     """Adds ``module`` (first that holds the address) and ``symbol`` (exactly there, the least name).
 
-    Both are joins on the image and an address or address bucket; the module ranges are repeated per bucket they touch.
+    Both are joins on the image and an address or address bucket; a module touches few buckets whatever its size says.
     """
-    mods = s.table(modules).select(F.col("image").alias("_mi"), F.col("name").alias("_mn"), F.col("base").alias("_lo"), (F.col("base") + F.col("size")).alias("_hi"), F.col("ord").alias("_mo"))
+    # A forged size may go beyond any address; it ends at the last one.
+    end = F.coalesce(F.try_add("base", "size"), F.lit((1 << 63) - 1))
+    mods = s.table(modules).select("image", F.col("name").alias("module"), "base", end.alias("_end"), "ord")
     keyed = df.select("image", F.col(at).alias("_at")).filter("_at IS NOT NULL").distinct()
-    bucket = lambda c: F.floor(F.col(c) / MODULE_BUCKET).cast("long")
-    mods = mods.withColumn("_b", F.explode(F.sequence(bucket("_lo"), F.greatest(bucket("_lo"), bucket("_hi")))))
-    inside = (F.col("_at") >= F.col("_lo")) & ((F.col("_at") <= F.col("_hi")) if inclusive else (F.col("_at") < F.col("_hi")))
-    hit = keyed.withColumn("_pb", bucket("_at")).join(mods, (F.col("image") == F.col("_mi")) & (F.col("_pb") == F.col("_b")) & inside)
-    first = hit.groupBy("image", "_at").agg(F.min_by("_mn", "_mo").alias("module"))
+    first = relational.lookup_first(keyed, "_at", mods, "base", "_end", "ord", "module", MODULE_BUCKET, ["image"], inclusive)
     names = s.table("symbols").groupBy(F.col("image"), F.col("address").alias("_at")).agg(F.min("name").alias("symbol"))
-    found = keyed.join(first, ["image", "_at"], "left").join(names, ["image", "_at"], "left").withColumnRenamed("_at", at)
+    found = first.join(names, ["image", "_at"], "left").withColumnRenamed("_at", at)
     return df.join(found, ["image", at], "left")
 
 

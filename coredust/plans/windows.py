@@ -82,10 +82,10 @@ def psscan(s, pid=None, physical=True):
 def pstree(s, pid=None, physical=False):
     """Depth first by parent pid; with ``pid`` the processes asked for and all their ancestors."""
     p = _listed(s)
-    paths = relational.tree_paths(p.select("pid", "ppid"), "pid", "ppid")
+    paths = relational.tree_paths(p, "pid", "ppid", ["image"])
     if pid is not None:
-        paths = paths.join(relational.with_ancestors(paths, "pid", only(p, "pid", pid)).select("pid"), "pid", "left_semi")
-    return p.join(paths.withColumnRenamed("path", "tree_path"), "pid").select("image", *_place(physical), "audit", "cmd", "path", "depth", "tree_path")
+        paths = paths.join(relational.with_ancestors(paths, "pid", only(p, "pid", pid), ["image"]).select("image", "pid"), ["image", "pid"], "left_semi")
+    return p.join(paths.withColumnRenamed("path", "tree_path"), ["image", "pid"]).select("image", *_place(physical), "audit", "cmd", "path", "depth", "tree_path")
 
 
 @operator("windows.malware.psxview.PsXView")
@@ -625,13 +625,10 @@ def hivescan(s):
 
 
 def _key_paths(s: Session) -> DataFrame:
-    """Keys with their full path; the walk stops at cycles, as they have no root."""
-    k = s.table("win_keys").withColumn("node", F.xxhash64("image", "hive_offset", "cell")).withColumn("up", F.when(F.col("parent").isNotNull(), F.xxhash64("image", "hive_offset", "parent")))
-    names = k.select("node", "name")
-    tree = relational.tree_paths(k.select("node", "up"), "node", "up", max_depth=512)
-    steps = tree.select("node", F.posexplode(F.split("path", "/")).alias("_i", "_s"))
-    named = steps.join(names.select(F.lpad(F.col("node").cast("string"), 12, "0").alias("_s"), "name"), "_s").groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "name"))), lambda x: x["name"]), "\\").alias("key"))
-    return k.join(named, "node").join(tree.select("node", "depth"), "node")
+    """Keys with their full path; keys on cycles have no root and fall away."""
+    k = s.table("win_keys")
+    tree = relational.tree_paths(k, "cell", "parent", ["image", "hive_offset"], "name", "\\")
+    return k.join(tree.select("image", "hive_offset", "cell", "depth", F.col("names").alias("key")), ["image", "hive_offset", "cell"])
 
 
 @operator("windows.registry.printkey.PrintKey")

@@ -6,10 +6,11 @@ one large image is read by many tasks; every chunk carries an overlap into the n
 
 from __future__ import annotations
 
+import json
 import posixpath
 import struct
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "image string, layer string, start long, bytes binary"
+SCHEMA = "image string, layer string, start long, size long, bytes binary"
 CHUNK, OVERLAP, SLICE = 1 << 20, 4096, 64 << 20
 
 #: Container magics. Fixed values.
@@ -165,45 +166,50 @@ class Memory:
 
 @dataclass
 class Slice(InputPartition):
+    image: str
     path: str
     start: int
     size: int
     limit: int
 
-    def __init__(self, path: str, start: int, size: int, limit: int):
-        self.path, self.start, self.size, self.limit = path, start, size, limit
+    def __init__(self, image: str, path: str, start: int, size: int, limit: int):
+        self.image, self.path, self.start, self.size, self.limit = image, path, start, size, limit
 
 
 class ImageReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int, overlap: int, slice_bytes: int):
-        self.path, self.chunk, self.overlap, self.slice = path, chunk, overlap, max(chunk, slice_bytes // chunk * chunk)
+    def __init__(self, path: str, named: list[list[str]], chunk: int, overlap: int, slice_bytes: int):
+        self.path, self.named, self.chunk, self.overlap, self.slice = path, named, chunk, overlap, max(chunk, slice_bytes // chunk * chunk)
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[list[str]]:
+        """(image, path) of what is to be read; files of a folder go by their own names."""
+        if self.named:
+            return self.named
         fs, root = file_system(self.path)
         info = fs.get_file_info(root)
         if info.is_file:
-            return [self.path]
+            return [[posixpath.basename(self.path), self.path]]
         prefix = self.path[: len(self.path) - len(root)]
-        return sorted(prefix + i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and not i.base_name.startswith(("_", ".")))
+        found = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and not i.base_name.startswith(("_", ".")))
+        return [[posixpath.basename(p), prefix + p] for p in found]
 
     def partitions(self) -> list[Slice]:
         out = []
-        for path in self._files():
+        for image, path in self._files():
             for s in Memory(path).segments:
                 step = s.size if s.packed else self.slice  # packed segments are read whole
-                out += [Slice(path, s.start + a, min(step, s.size - a), s.start + s.size) for a in range(0, s.size, step)]
+                out += [Slice(image, path, s.start + a, min(step, s.size - a), s.start + s.size) for a in range(0, s.size, step)]
         return out
 
     def read(self, p: Slice) -> Iterator[pa.RecordBatch]:
-        memory, name = Memory(p.path), posixpath.basename(p.path)
+        memory = Memory(p.path)
         for at in range(p.start, p.start + p.size, self.chunk):
             end = min(at + self.chunk, p.start + p.size)
             data = memory.read(at, min(end + self.overlap, p.limit) - at)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(["primary"]), pa.array([at], pa.int64()), pa.array([data], pa.binary())], names=["image", "layer", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([p.image]), pa.array(["primary"]), pa.array([at], pa.int64()), pa.array([end - at], pa.int64()), pa.array([data], pa.binary())], names=["image", "layer", "start", "size", "bytes"])
 
 
 class ImageSource(DataSource):
-    """Options: path (a file or folder), chunk, overlap, slice."""
+    """Options: path (a file or folder) or images (JSON pairs of name and path), chunk, overlap, slice."""
 
     @classmethod
     def name(cls) -> str:
@@ -214,10 +220,14 @@ class ImageSource(DataSource):
 
     def reader(self, schema) -> ImageReader:
         o = self.options
-        return ImageReader(o["path"], int(o.get("chunk", CHUNK)), int(o.get("overlap", OVERLAP)), int(o.get("slice", SLICE)))
+        return ImageReader(o.get("path", ""), json.loads(o.get("images", "[]")), int(o.get("chunk", CHUNK)), int(o.get("overlap", OVERLAP)), int(o.get("slice", SLICE)))
 
 
-def read_image(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(image, layer, start, bytes) of all segments of an image or of a folder of images."""
+def read_image(spark: SparkSession, path: str | None = None, images: Sequence[tuple[str, str]] = (), **options) -> DataFrame:
+    """(image, layer, start, size, bytes) of all segments of an image, of a folder of images, or of (name, path) pairs.
+
+    ``size`` is the length without the overlap.
+    """
     spark.dataSource.register(ImageSource)
-    return spark.read.format("memimage").options(**{k: str(v) for k, v in options.items()}).load(path)
+    reader = spark.read.format("memimage").options(**{k: str(v) for k, v in options.items()})
+    return reader.option("images", json.dumps([list(i) for i in images])).load() if images else reader.load(path)

@@ -5,6 +5,7 @@ import struct
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from coredust.plans import extract, generic  # noqa: F401
 from coredust.sources.image import Memory, read_image
@@ -120,13 +121,14 @@ def test_pages_and_fields(images):
 def test_walk_scan_and_crossview(spark, images):
     d, raw, layout = images
     rows = [{"image": n, "path": str(d / n), "layout_path": layout, "dtb": 0x1000} for n in ("raw.bin", "a.lime")]
-    s = extract.open_images(spark, rows, ["lin_tasks", "win_pages"], str(d / "raw.bin"))
+    s = extract.open_images(spark, rows, ["lin_tasks", "win_pages"])
     out = s.run("linux.pslist.PsList").filter("image = 'a.lime'").collect()
     want = {i for i in range(TASKS) if i == 0 or i % 3}
     assert {r.pid for r in out} == want and {r.ppid for r in out if r.pid == 101} == {50}
     tree = s.run("linux.pstree.PsTree").filter("image = 'raw.bin'")
     assert tree.count() > 0
-    carved = extract.carved_tasks(s.table("chunks"), Layout.load(layout), [CLASS], 1 << 20)
+    assert {r.image: r.n for r in s.table("chunks").groupBy("image").agg(F.sum("size").alias("n")).collect()} == {"raw.bin": SIZE, "a.lime": SIZE}
+    carved = extract.carved_tasks(s.table("chunks").filter("image = 'raw.bin'"), Layout.load(layout), [CLASS], 1 << 20)
     assert {r.pid for r in carved.collect()} == set(range(1, TASKS))
     hidden = carved.join(s.run("linux.pslist.PsList").filter("image = 'raw.bin'"), "pid", "left_anti")
     assert {r.pid for r in hidden.collect()} == set(range(1, TASKS)) - want

@@ -218,5 +218,101 @@ def test_owners_of_long_and_short_passages(spark):
     texts = [(1, "xx alpha beta gamma delta epsilon yy"), (2, "zalpha beta gamma delta epsilonz"), (3, "alpha  beta gamma delta epsilon"), (4, "a needle here"), (5, ""), (6, None)]
     parts = [(10, "alpha beta gamma delta epsilon"), (11, "needle"), (12, "dle h"), (13, ""), (14, "quite absent here now then"), (15, "ta")]
     d, p = spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(parts, "item long, passage string")
-    got = sorted((r.item, r.doc) for r in scan.owners(p, "passage", d, "text").collect())
+    got = sorted((r.item, r.doc) for r in scan.owners(p, "passage", d, "text", "doc").collect())
     assert got == sorted((i, k) for i, x in parts if x for k, t in texts if t and x in t)
+
+
+def test_trees_of_several_images(spark):
+    """Equal ids in two images are two trees, for every operator that builds one."""
+    two = lambda rows: [r | {"image": i} for i in "ij" for r in rows]
+    s = session(
+        spark, win_processes=two([{"source": "pslist", "ord": i, "offset": i, "pid": p, "ppid": pp, "name": "x"} for i, (p, pp) in enumerate(((4, 0), (8, 4)))]),
+        lin_tasks=two([{"source": "list", "ord": i, "offset": i, "pid": p, "tid": p, "ppid": pp, "comm": "x"} for i, (p, pp) in enumerate(((1, 0), (5, 1)))]),
+        lin_resources=two([{"node": -(1 << 46) + n, "parent": p, "name": "r", "start": 0, "end": 1} for n, p in ((0, None), (1, -(1 << 46)))]),
+        mac_tasks=two([{"source": "tasks", "ord": i, "offset": i, "pid": p, "ppid": pp, "name": "x"} for i, (p, pp) in enumerate(((0, 0), (3, 0)))]),
+        mac_vnodes=two([{"address": -(1 << 40), "name": ""}, {"address": -(1 << 40) + 1, "parent": -(1 << 40), "name": "etc"}]),
+        mac_sysctls=two([{"node": 10**15 + n, "parent": p, "name": "s", "handler": 1} for n, p in ((1, None), (2, 10**15 + 1))]),
+        win_keys=two([{"hive_offset": 1, "cell": c, "parent": p, "name": n} for c, p, n in ((1, None, "ROOT"), (2, 1, "SAM"))]),
+    )
+    for name in ("windows.pstree.PsTree", "linux.pstree.PsTree", "linux.iomem.IOMem", "mac.pstree.PsTree", "mac.check_sysctl.Check_sysctl"):
+        rows = s.run(name).collect()
+        assert sorted((r.image, r.depth) for r in rows) == [("i", 0), ("i", 1), ("j", 0), ("j", 1)], name
+    assert sorted((r.image, r.file_path) for r in s.run("mac.list_files.List_Files").collect()) == [("i", "/"), ("i", "/etc"), ("j", "/"), ("j", "/etc")]
+    assert sorted((r.image, r.key) for r in s.run("windows.registry.printkey.PrintKey").collect()) == [("i", "ROOT"), ("i", r"ROOT\SAM"), ("j", "ROOT"), ("j", r"ROOT\SAM")]
+    assert sorted((r.image, r.pid) for r in s.run("windows.pstree.PsTree", pid=8).collect()) == [("i", 4), ("i", 8), ("j", 4), ("j", 8)]
+
+
+def test_deep_and_wide_trees_and_cycles(spark):
+    from coredust.operators import relational
+
+    far = 10**15
+    rows = [(far + i, far + i - 1 if i else None) for i in range(200)] + [(-5, -5), (-4, -5), (1, 2), (2, 1), (3, 1), (7, 99), (-4, None)]
+    got = {r.id: (r.depth, r.path, r.names) for r in relational.tree_paths(spark.createDataFrame(rows, "id long, up long").selectExpr("*", "CAST(id AS STRING) AS name"), "id", "up", label="name", sep=">").collect()}
+    assert set(got) == {far + i for i in range(200)} | {-5, -4, 7}
+    assert all(got[far + i][0] == i and got[far + i][1].count("/") == i for i in range(200)) and got[far + 2][2] == f"{far}>{far + 1}>{far + 2}"
+    assert got[-4] == (0, "F" * 15 + "C", "-4")  # of the rows that repeat an id the one with the least parent counts
+
+
+def test_ranges_of_any_length(spark):
+    import random
+
+    from coredust.operators import relational
+
+    rng = random.Random(4)
+    big = (1 << 63) - 1
+    ranges = [(i, lo, lo + rng.choice([0, 1, 100, 5000, 1 << 30, 1 << 50])) for i in range(60) for lo in [rng.randrange(-(1 << 47), 1 << 47)]] + [(100, -(1 << 47), big), (101, 5, 4), (102, -10, 10)]
+    points = [(rng.choice(ranges)[1] + rng.randrange(-3, 6000),) for _ in range(300)] + [(0,), (None,), (big,), (-(1 << 63),)]
+    p, r = spark.createDataFrame(points, "at long"), spark.createDataFrame(ranges, "id long, lo long, hi long")
+    keep = lambda a, hi_too: sorted(i for i, lo, hi in ranges if a is not None and lo <= a and (a <= hi if hi_too else a < hi))
+    both = relational.lookup_all(p, "at", r, "lo", "hi", 4096)
+    assert sorted((x.at, x.id) for x in both.collect()) == sorted((a, i) for (a,) in points for i in keep(a, True))
+    first = relational.lookup_first(p.distinct(), "at", r, "lo", "hi", "id", "id", 4096)
+    assert {x.at: x.id for x in first.collect()} == {a: min(keep(a, False), default=None) for (a,) in points}
+    assert {x.at for x in relational.outside_ranges(p, "at", r, "lo", "hi", 4096).collect()} == {a for (a,) in points if not keep(a, False)}
+
+
+def test_a_forged_module_size(spark):
+    k = -(1 << 46)
+    s = session(spark, win_modules=[{"source": "list", "ord": 0, "offset": 1, "base": k, "size": (1 << 63) - 1, "name": "forged.sys"}, {"source": "list", "ord": 1, "offset": 2, "base": k + 4096, "size": 4096, "name": "disk.sys"}], win_ssdt=[{"table": 0, "entries": [k + 5000, 7, k - 1]}])
+    assert [(r["index"], r.module) for r in s.run("windows.ssdt.SSDT").orderBy("index").collect()] == [(0, "forged.sys"), (1, "forged.sys"), (2, None)]
+
+
+PATTERNS = {"run": rb"[a-z]+", "pair": rb"[a-z][0-9]|z+", "lazy": rb"q.*?x", "none": rb"(?=zz)", "long": rb"a{7,}"}
+
+
+@pytest.mark.parametrize("chunk", [3, 10, 17, 64, 100_000])
+def test_regular_expressions_do_not_depend_on_chunks(spark, chunk):
+    """Greedy, lazy, empty and long matches over texts with long runs, against one pass over each text."""
+    import random
+    import re
+
+    from coredust.operators import scan
+
+    rng, maxsize = random.Random(2), 23
+    texts = {1: b"abcdefghijklmnopqrstuvwxyz", 2: b"", 3: b"a" * 150 + b"1" + b"z" * 70, 4: bytes(rng.choice(b"aaaqxz01 ") for _ in range(400)), 5: b"-" * 90, 6: b"aaaaaaa" * 30}
+    d = spark.createDataFrame(list(texts.items()), "k long, data binary")
+    got = scan.regex_scan(scan.chunked(d, "k", "data", chunk, maxsize), ["k"], PATTERNS, maxsize, chunk)
+    want = set()
+    for k, raw in texts.items():
+        for n, p in PATTERNS.items():
+            at = 0
+            while at <= len(raw):
+                hit = next(((i, m.end()) for i in range(at, len(raw)) if (m := re.compile(p, re.DOTALL).match(raw, i, min(len(raw), i + maxsize)))), None)
+                if hit is None:
+                    break
+                want.add((k, n, hit[0], raw[hit[0] : hit[1]]))
+                at = max(hit[1], hit[0] + 1)
+    assert {(r.k, r.pattern, r.offset, bytes(r.hex)) for r in got.collect()} == want
+
+
+def test_quantiles_with_infinities_and_nan(spark):
+    from coredust.operators import timeline
+
+    inf = float("inf")
+    values = [-inf, -inf, -1.7e308, -1.0, 0.0, 5e-324, 1.0, 1.7e308, inf]
+    d = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    assert [timeline.nth_value(d, "v", k, bins=4) for k in range(9)] == values and timeline.nth_value(d, "v", 9) is None
+    assert timeline.nth_value(spark.createDataFrame([(inf,), (float("nan"),)], "v double"), "v", 0) == inf
+    assert timeline.nth_value(d.filter("v < 0 AND v > -2"), "v", 0) == -1.0
+    some = spark.createDataFrame([(float(i),) for i in range(1000)] + [(1e9,), (float("nan"),), (None,)], "v double")
+    assert tuple(timeline.focus(some, "v").first()) == (5.0, 995.0, True)
