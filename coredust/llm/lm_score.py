@@ -35,9 +35,9 @@ CLASSES, WIDE = 64, 64
 VOCAB, BUCKETS = CLASSES * WIDE, 32
 PAD = VOCAB
 RADIUS, HIDDEN = 2, 16
-ROUNDS, BATCH, RATE, SEED = 2, 2048, 0.1, 3
-#: Positions handled at once; scale of summed parameters; chunks of the parameters, and in how many parts each is summed first.
-BLOCK, SCALE, CHUNKS, PARTS = 1 << 16, 1 << 14, 16, 16
+ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.1, 3
+#: Positions whose windows are held at once, and that are scored at once; scale of summed parameters; chunks of the parameters, and in how many parts each is summed first.
+BLOCK, PIECE, SCALE, CHUNKS, PARTS = 1 << 16, 1 << 12, 1 << 14, 16, 16
 #: Distinct words that a task counts before it hands its partial counts on, and codes of words that it keeps.
 COUNTER_WORDS, TABLE_WORDS = 500_000, 300_000
 #: The symbol before the first byte of a word.
@@ -99,17 +99,16 @@ class Net:
         order, cuts = by_class(target)
         h, y = self.hide(context[order]), target[order].astype(np.intp)
         out = np.empty(len(y), np.float32)
-        out[order] = _log_softmax_at(h @ self.top + self.top_bias, y // WIDE) + _log_softmax_at(self._words(h, cuts), y % WIDE)
+        first = _log_softmax_at(h @ self.top + self.top_bias, y // WIDE, _bound(self.top, self.top_bias))
+        out[order] = first + _log_softmax_at(self._words(h, cuts), y % WIDE, _bound(self.low, self.low_bias))
         return out
 
     def _words(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """What is said for each word of a row's own class; rows are sorted by class."""
-        z = np.empty((len(h), WIDE), np.float32)
-        for c in range(CLASSES):
-            a, b = cuts[c], cuts[c + 1]
-            if a < b:
-                np.matmul(h[a:b], self.low[c], out=z[a:b])
-                z[a:b] += self.low_bias[c]
+        z = self.low_bias.repeat(np.diff(cuts), 0)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = slice(cuts[c], cuts[c + 1])
+            z[rows] += h[rows] @ self.low[c]
         return z
 
     def step(self, context: np.ndarray, target: np.ndarray, square: "Net") -> None:
@@ -117,23 +116,22 @@ class Net:
         order, cuts = by_class(target)
         c, y, n = context[order], target[order].astype(np.intp), len(target)
         h = self.hide(c)
-        p, q = _softmax(h @ self.top + self.top_bias), _softmax(self._words(h, cuts))
+        p, q = _softmax(h @ self.top + self.top_bias, _bound(self.top, self.top_bias)), _softmax(self._words(h, cuts), _bound(self.low, self.low_bias))
         rows = np.arange(n)
         p[rows, y // WIDE] -= 1
         q[rows, y % WIDE] -= 1
         p /= n
         q /= n
         dh = p @ self.top.T
-        for k in range(CLASSES):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                dh[a:b] += q[a:b] @ self.low[k].T
+        low, low_bias = np.zeros_like(self.low), np.zeros_like(self.low_bias)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = slice(cuts[k], cuts[k + 1])
+            dh[rows] += q[rows] @ self.low[k].T
+            np.matmul(h[rows].T, q[rows], out=low[k])
+            q[rows].sum(0, out=low_bias[k])
         dh *= 1 - h * h
-        for k in range(CLASSES):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                _adagrad(self.low[k], h[a:b].T @ q[a:b], square.low[k])
-                _adagrad(self.low_bias[k], q[a:b].sum(0), square.low_bias[k])
+        _adagrad(self.low, low, square.low)
+        _adagrad(self.low_bias, low_bias, square.low_bias)
         _adagrad(self.top, h.T @ p, square.top)
         _adagrad(self.top_bias, p.sum(0), square.top_bias)
         _adagrad(self.hidden, dh.sum(0), square.hidden)
@@ -152,17 +150,34 @@ def _adagrad(w: np.ndarray, g: np.ndarray, s: np.ndarray) -> None:
     w -= RATE * g / np.sqrt(s)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+#: Up to this, exp neither overflows nor loses all of a row in single precision.
+SAFE = 60.0
+
+
+def _bound(w: np.ndarray, bias: np.ndarray) -> float:
+    """What no |h @ w + bias| exceeds, as every |h| is at most one."""
+    return float((np.abs(w).sum(-2) + np.abs(bias)).max())
+
+
+def _exp(z: np.ndarray, bound: float) -> np.ndarray:
+    """exp(z) in place; rows are shifted by their maximum where the bound says that they may have to be."""
+    if bound > SAFE:
+        z -= z.max(1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def _softmax(z: np.ndarray, bound: float) -> np.ndarray:
+    _exp(z, bound)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    hit = z[np.arange(len(z)), at]
-    return hit - np.log(np.exp(z, out=z).sum(1))
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    rows = np.arange(len(z))
+    if bound > SAFE:
+        z -= z.max(1, keepdims=True)
+    hit = z[rows, at]
+    return hit - np.log(_exp(z, 0.0) @ np.ones(z.shape[1], z.dtype))
 
 
 def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +395,7 @@ def scores(net: Net, texts: list[np.ndarray]) -> np.ndarray:
     if not size.sum():
         return out
     context, target, _ = windows(texts)
-    logs = np.concatenate([net.log_probs(context[at : at + BLOCK], target[at : at + BLOCK]) for at in range(0, len(target), BLOCK)])
+    logs = np.concatenate([net.log_probs(context[at : at + PIECE], target[at : at + PIECE]) for at in range(0, len(target), PIECE)])
     full = size > 0
     out[full] = np.add.reduceat(logs.astype(np.float64), (np.cumsum(size) - size)[full])
     return out
