@@ -60,7 +60,8 @@ PROCESS = ("pid", "ppid", "name", "offset", "threads", "handles", "session_id",
 
 def _listed(s: Session, source: str = "pslist") -> DataFrame:
     """Processes of one enumeration, each address once (lists are walked in both directions)."""
-    return relational.first_seen(s.table("win_processes").filter(F.col("source") == source).withColumn("_k", F.concat_ws("@", "image", F.col("offset").cast("string"))), "_k", ["ord"]).drop("_k")
+    place = F.coalesce("offset", "physical").cast("string")  # a carved process has no virtual address
+    return relational.first_seen(s.table("win_processes").filter(F.col("source") == source).withColumn("_k", F.concat_ws("@", "image", place)), "_k", ["ord"]).drop("_k")
 
 
 def _place(physical: bool):
@@ -90,10 +91,10 @@ def pstree(s, pid=None, physical=False):
 
 @operator("windows.malware.psxview.PsXView")
 def psxview(s):
-    """Which enumerations report a process, by address."""
+    """Which enumerations report a process, by physical address where one is known."""
     sources = ("pslist", "psscan", "thrdscan", "csrss")
     p = s.table("win_processes").filter(F.col("source").isin(*sources))
-    return p.groupBy("image", "offset").agg(F.min_by("name", "ord").alias("name"), F.min_by("pid", "ord").alias("pid"), *(F.bool_or(F.col("source") == n).alias(n) for n in sources), F.max("exit_time").cast("string").alias("exit_time"))
+    return p.groupBy("image", F.coalesce("physical", "offset").alias("offset")).agg(F.min_by("name", "ord").alias("name"), F.min_by("pid", "ord").alias("pid"), *(F.bool_or(F.col("source") == n).alias(n) for n in sources), F.max("exit_time").cast("string").alias("exit_time"))
 
 
 @operator("windows.cmdline.CmdLine")

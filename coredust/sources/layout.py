@@ -13,6 +13,7 @@ from .image import Memory
 
 PRESENT, LARGE = 1, 1 << 7
 ADDRESS = 0x000F_FFFF_FFFF_F000
+MASK = (1 << 64) - 1
 
 
 def signed(address: int) -> int:
@@ -133,6 +134,40 @@ class Space:
         base = self.layout.base.get(t.get("name", ""), {})
         return int.from_bytes(raw, "little", signed=bool(base.get("signed")))
 
+    def maybe(self, kind: str, address: int, field: str):
+        """``value``, or None where the build has no such field."""
+        return self.value(kind, address, field) if self.layout.has(kind, field) else None
+
+    def pointer(self, address: int) -> int:
+        """What a pointer at an address points to; 0 where it cannot be read."""
+        try:
+            return int.from_bytes(self.read(address & MASK, 8), "little")
+        except LookupError:
+            return 0
+
+    def at(self, kind: str, address: int, field: str) -> int:
+        """The address of a field."""
+        return (address + self.layout.offset(kind, field)) & MASK
+
+    def unicode(self, address: int) -> str | None:
+        """A counted UTF-16 string; None where it is empty or cannot be read."""
+        size, buffer = self.value("_UNICODE_STRING", address, "Length"), self.value("_UNICODE_STRING", address, "Buffer")
+        try:
+            return self.read(buffer, size).decode("utf-16-le", "replace") if size and buffer else None
+        except LookupError:
+            return None
+
+    def padded(self, address: int, size: int) -> bytes:
+        """Like ``read``, with zeros for pages that are not there."""
+        out = b""
+        while len(out) < size:
+            n = min(size - len(out), 4096 - (address + len(out)) % 4096)
+            try:
+                out += self.read((address + len(out)) & MASK, n)
+            except LookupError:
+                out += b"\0" * n
+        return out
+
     def walk(self, head: int, kind: str, link: str, backward: str | None = None) -> Iterator[int]:
         """Addresses of the structs on a doubly linked list around ``head``: forward, then backward, each once.
 
