@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import scan
+from ..sources import hive
 from ..sources.image import Memory, read_image
 from ..sources.layout import Layout, Space, signed
 from . import linux, mac, windows  # noqa: F401  (they register operators and schemas)
@@ -234,13 +235,55 @@ def windows_modules(space: Space) -> Iterator[dict]:
         yield {"source": "list", "ord": n, "offset": signed(m), "base": signed(get("DllBase") or 0), "size": get("SizeOfImage"), "name": text("BaseDllName"), "path": text("FullDllName")}
 
 
+def _hives(space: Space) -> Iterator[int]:
+    yield from space.walk(space.symbol("CmpHiveListHead"), "_CMHIVE", "HiveList")
+
+
+def _hive_path(space: Space, h: int) -> str | None:
+    return next((x for f in ("FileFullPath", "FileUserName", "HiveRootPath") if space.layout.has("_CMHIVE", f) and (x := space.unicode(space.at("_CMHIVE", h, f)))), None)
+
+
+def windows_hives(space: Space) -> Iterator[dict]:
+    for n, h in enumerate(_hives(space)):
+        yield {"source": "list", "ord": n, "offset": signed(h), "path": _hive_path(space, h), "get_cell_routine": signed(space.maybe("_CMHIVE", h, "Hive.GetCellRoutine") or 0)}
+
+
+def key_rows(read: hive.Reader, root: int, offset: int, path: str | None) -> Iterator[dict]:
+    """Rows of ``win_keys`` from the cells of one hive."""
+    for k in hive.keys(read, root):
+        values = k["values"]
+        yield {
+            "hive_offset": offset, "hive_name": path, "cell": k["cell"], "parent": k["parent"], "name": k["name"], "last_write": _time(k["written"]), "volatile": k["volatile"], "class_name": k["class"], "value_names": [n for n, _, _ in values],
+            "value_types": [t for _, t, _ in values], "value_data": [hive.shown(t, raw) for _, t, raw in values], "value_raw": [raw for _, _, raw in values],
+        }
+
+
+def windows_keys(space: Space) -> Iterator[dict]:
+    """The keys of all hives on the system's list, through their storage maps."""
+    for h in _hives(space):
+        yield from key_rows(*hive.memory_reader(space, h), signed(h), _hive_path(space, h))
+
+
+def hive_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``win_keys`` from whole hive files: rows (image, path, hive_offset, content)."""
+    fields = [f.name for f in spark.createDataFrame([], SCHEMAS["win_keys"]).schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in b.itertuples():
+                rows = [r | {"image": i.image} for r in key_rows(*hive.file_reader(bytes(i.content)), int(i.hive_offset), i.path)]
+                yield pd.DataFrame(rows, columns=fields)
+
+    return files.select("image", "path", "hive_offset", "content").mapInPandas(run, SCHEMAS["win_keys"])
+
+
 def mapped_pages(space: Space) -> Iterator[dict]:
     for virt, phys, size, _ in space.pages():
         yield {"pid": 0, "virt": signed(virt), "phys": phys, "size": size, "class": "valid", "large": size > 4096}
 
 
 #: Kind of object -> how one image's rows are read.
-WALKS: dict[str, Callable[[Space], Iterator[dict]]] = {"lin_tasks": linux_tasks, "lin_modules": linux_modules, "win_processes": windows_processes, "win_modules": windows_modules, "win_pages": mapped_pages, "win_threads": windows_threads, "win_vads": windows_vads, "win_ldr": windows_ldr, "win_handles": windows_handles, "win_envars": windows_envars}
+WALKS: dict[str, Callable[[Space], Iterator[dict]]] = {"lin_tasks": linux_tasks, "lin_modules": linux_modules, "win_processes": windows_processes, "win_modules": windows_modules, "win_pages": mapped_pages, "win_threads": windows_threads, "win_vads": windows_vads, "win_ldr": windows_ldr, "win_handles": windows_handles, "win_envars": windows_envars, "win_hives": windows_hives, "win_keys": windows_keys}
 
 
 def walked(spark: SparkSession, images: DataFrame, kind: str) -> DataFrame:

@@ -41,7 +41,7 @@ schemas(
     win_stations="source string, offset long, name string, session_id long",
     win_consoles="kind string, pid long, process string, info long, fields array<struct<property:string,address:long,data:string>>",
     win_hives="source string, ord long, offset long, path string, get_cell_routine long, user_name string",
-    win_keys="hive_offset long, hive_name string, cell long, parent long, name string, last_write timestamp, volatile boolean, value_names array<string>, value_types array<string>, value_data array<string>",
+    win_keys="hive_offset long, hive_name string, cell long, parent long, name string, last_write timestamp, volatile boolean, value_names array<string>, value_types array<string>, value_data array<string>, class_name string, value_raw array<binary>",
     win_pages="pid long, virt long, phys long, size long, class string, large boolean",
     win_regions="ord long, region string, start long, end long",
     win_facts="ord long, variable string, value string",
@@ -748,3 +748,5 @@ def scheduled_tasks(s):
 alias("windows.direct_system_calls.DirectSystemCalls", "windows.malware.direct_system_calls.DirectSystemCalls")
 alias("windows.indirect_system_calls.IndirectSystemCalls", "windows.malware.indirect_system_calls.IndirectSystemCalls")
 alias("windows.scheduled_tasks.ScheduledTasks", "windows.registry.scheduled_tasks.ScheduledTasks")
+
+from . import secrets  # noqa: E402, F401  (it registers operators over the keys above)
