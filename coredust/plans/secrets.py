@@ -178,8 +178,8 @@ def _dumped(s: Session, rows: Callable[[Keys], Iterator[dict]], columns: str) ->
         keys = Keys()
         keys.written = {r.path.lower(): r.path for r in batch.itertuples()}
         for r in batch.itertuples():
-            names, raw = (x if x is not None else () for x in (r.value_names, r.value_raw))
-            keys[r.path.lower()] = (r.class_name, dict(zip(names, (bytes(v or b"") for v in raw), strict=False)))
+            called, raw = (x if x is not None else () for x in (r.value_names, r.value_raw))
+            keys[r.path.lower()] = (r.class_name, dict(zip(called, (bytes(v or b"") for v in raw), strict=False)))
         return pd.DataFrame([{"image": batch.image.iloc[0]} | r for r in rows(keys)], columns=["image", *names])
 
     return found.groupBy("image").applyInPandas(run, f"image string, {columns}")
