@@ -511,3 +511,6 @@ def json_children(t):
     kids = t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("k"), F.count(F.lit(1)).alias("n_children"))
     d = t.region.join(kids, F.col("n_regionkey") == F.col("r_regionkey"))
     return d.select("r_regionkey", "r_name", F.array_join("k.n_name", ",").alias("children"), "n_children")
+
+
+from . import families  # noqa: E402, F401  (it registers more queries)
