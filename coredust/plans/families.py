@@ -1,6 +1,7 @@
 """Queries that run named operators over object tables made from the driver's tables, each with its equivalent in SQL.
 
-The rows stand for kernel objects of three images; what is checked is the operator's own rule.
+The rows stand for kernel objects of three images; what is checked is the operator's own rule. Remainders of keys stand
+for attributes (an image, a kernel thread, a flag); every row of the tables takes part.
 """
 
 from __future__ import annotations
@@ -139,12 +140,12 @@ def forensic_lin_netfilter(t):
 
 _VIEWS = """
 v AS (SELECT 'i' || p_partkey % 3 AS image, p_partkey AS k, 1 AS s FROM part WHERE p_size > 25 UNION ALL SELECT 'i' || l_partkey % 3, l_partkey, 2 FROM lineitem WHERE l_quantity > 49
-  UNION ALL SELECT 'i' || p_partkey % 3, p_partkey, 3 FROM part WHERE p_retailprice > 1000)"""
+  UNION ALL SELECT 'i' || p_partkey % 3, p_partkey, 3 FROM part WHERE p_size < 30)"""
 
 
 def _module_views(t) -> DataFrame:
     part = lambda d, key, source: d.select(_image(key), _l(source).alias("source"), F.col(key).alias("ord"), F.col(key).alias("offset"), F.concat(_l("m"), F.col(key).cast("string")).alias("name"))
-    return part(t.part.filter("p_size > 25"), "p_partkey", "list").unionByName(part(t.lineitem.filter("l_quantity > 49"), "l_partkey", "sysfs")).unionByName(part(t.part.filter("p_retailprice > 1000"), "p_partkey", "scan"))
+    return part(t.part.filter("p_size > 25"), "p_partkey", "list").unionByName(part(t.lineitem.filter("l_quantity > 49"), "l_partkey", "sysfs")).unionByName(part(t.part.filter("p_size < 30"), "p_partkey", "scan"))
 
 
 @query(f"WITH {_VIEWS} SELECT image, k AS \"offset\", 'm' || k AS name, bool_or(s = 1) AS in_procfs, bool_or(s = 2) AS in_sysfs, bool_or(s = 3) AS in_scan FROM v GROUP BY image, k")
