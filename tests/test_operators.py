@@ -316,3 +316,18 @@ def test_quantiles_with_infinities_and_nan(spark):
     assert timeline.nth_value(d.filter("v < 0 AND v > -2"), "v", 0) == -1.0
     some = spark.createDataFrame([(float(i),) for i in range(1000)] + [(1e9,), (float("nan"),), (None,)], "v double")
     assert tuple(timeline.focus(some, "v").first()) == (5.0, 995.0, True)
+
+
+def test_equal_places_and_ranges_are_paired_in_bundles(spark, monkeypatch):
+    from coredust.operators import relational
+
+    joined, held = [], relational._held
+    monkeypatch.setattr(relational, "_held", lambda *a: joined.append(held(*a)) or joined[-1])
+    monkeypatch.setattr(relational, "BUNDLE", 30)
+    points = [(i, float(i % 2)) for i in range(80)] + [(99, None)]
+    ranges = [(i, 0.0, 1.0 - i % 2) for i in range(70)]
+    got = relational.lookup_all(spark.createDataFrame(points, "id long, at double"), "at", spark.createDataFrame(ranges, "r long, lo double, hi double"), "lo", "hi", 4)
+    assert got.columns == ["id", "at", "r", "lo", "hi"]
+    assert sorted((x.id, x.r) for x in got.collect()) == sorted((i, r) for i, at in points for r, lo, hi in ranges if at is not None and lo <= at <= hi)
+    # Two bundles of 40 points each, two bundles of 35 ranges each: 0 lies in both kinds of ranges, 1 in one of them.
+    assert joined[0].count() == 2 * 2 + 2 * 2 + 2 * 2
