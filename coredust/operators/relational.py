@@ -7,13 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.ship import ship
 from ..functions.tables import written
 
 #: Rows of equal keys that travel as one.
 BUNDLE = 1000
+#: Parts that places are cut into at most, a power of two, and the points and range ends that are worth a part of their own.
+PARTS, PART_ROWS = 256, 8192
 
 
 def crossview(sources: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -89,12 +96,88 @@ def lookup_all(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str,
     return both.select(*points.columns, F.inline("_ranges"))
 
 
+def _edges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, by: Sequence[str]) -> DataFrame:
+    """(by, ``_edges``): places, in order, that cut the points and range ends of each owner into parts of about equal size.
+
+    At most ``PARTS`` parts, and fewer where there is less than ``PART_ROWS`` for each. Where they lie changes no result.
+    """
+    ends = [points.select(*by, F.col(at).alias("_e")), ranges.select(*by, F.col(lo).alias("_e")), ranges.select(*by, F.col(hi).alias("_e"))]
+    cuts = F.percentile_approx("_e", [i / PARTS for i in range(1, PARTS)], 10 * PARTS)
+    per = ends[0].unionByName(ends[1]).unionByName(ends[2]).groupBy(*by).agg(cuts.alias("_c"), F.count("_e").alias("_n"))
+    step = F.greatest(F.lit(1), F.ceil(F.lit(float(PARTS * PART_ROWS)) / F.col("_n"))).cast("int")
+    return per.select(*by, F.coalesce(F.array_sort(F.array_distinct(F.filter("_c", lambda _, i: (i + 1) % step == 0))), F.array().cast(per.schema["_c"].dataType)).alias("_edges"))
+
+
+def _part(x: Column) -> Column:
+    """The number of ``_edges`` at or before ``x``, by bisection: it grows with ``x``, so parts are in order."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(PARTS.bit_length() - 1))))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get("_edges", n + s - 1) <= x, n + s).otherwise(n))
+
+
+def _in_parts(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Points with their part ``_p``; ranges with the parts ``_pa`` and ``_pb`` of their ends, and ``_edges``."""
+    cut = _edges(points, at, ranges, lo, hi, by)
+    joined = lambda df: df.join(cut, list(by)) if by else df.crossJoin(F.broadcast(cut))
+    p = joined(points).withColumn("_p", _part(F.col(at))).drop("_edges")
+    return p, joined(ranges).withColumns({"_pa": _part(F.col(lo)), "_pb": _part(F.col(hi))})
+
+
+def _painter(inclusive: bool):
+    """The first range of each point of one part: (by, part, at, place) of points and ranges in, hits out."""
+
+    def paint(points: pa.Table, ranges: pa.Table) -> pa.Table:
+        if not len(points) or not len(ranges):
+            return points.append_column("_name", pa.nulls(len(points), ranges.schema.field("_name").type)).slice(0, 0)
+        ranges = ranges.take(pc.sort_indices(ranges, [("_order", "ascending")]))
+        lo, hi, at = (t.column(c).to_numpy(zero_copy_only=False) for t, c in ((ranges, "_lo"), (ranges, "_hi"), (points, "_at")))
+        ends = np.unique(np.concatenate([lo, hi]))
+        # Cell 2i is the place ends[i], cell 2i + 1 what lies between it and the next end.
+        first, last = 2 * np.searchsorted(ends, lo), 2 * np.searchsorted(ends, hi) + (1 if inclusive else 0)
+        owner, free = [-1] * (2 * len(ends) + 1), list(range(2 * len(ends) + 2))
+        for i, (cell, stop) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            while True:
+                root = cell
+                while free[root] != root:
+                    root = free[root]
+                while free[cell] != root:
+                    free[cell], cell = root, free[cell]
+                if root >= stop:
+                    break
+                owner[root], free[root] = i, root + 1
+                cell = root + 1
+        place = np.searchsorted(ends, at, side="right") - 1
+        end = ends[np.maximum(place, 0)]
+        cells = np.where((end == at) | ((end != end) & (at != at)), 2 * place, 2 * place + 1)
+        own = np.where(place < 0, -1, np.array(owner)[np.maximum(cells, 0)])
+        hit = np.flatnonzero(own >= 0)
+        return points.take(hit).append_column("_name", ranges.column("_name").take(own[hit]))
+
+    return paint
+
+
 def lookup_first(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, order: str, name: str, width: float, by: Sequence[str] = (), inclusive: bool = False) -> DataFrame:
-    """The first range (by ``order``) that holds each point, as ``name``; null if none does. Half-open unless inclusive."""
+    """The first range (by ``order``) that holds each point, as ``name``; null if none does. Half-open unless inclusive.
+
+    Places are cut into parts of about equal content. A range goes to the parts in which it ends; of those that cover
+    a part from end to end the first one does. In a part the ranges, first ones first, take the cells between their ends
+    that are still free, so no range is paired with the points that it holds. ``width`` is not needed for that.
+    """
     keys = [*by, at]
-    r = ranges.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
-    hit = _held(points.select(*keys).distinct(), at, r, "_lo", "_hi", width, inclusive, by)
-    return points.join(hit.groupBy(*keys).agg(F.min_by("_name", "_order").alias(name)), keys, "left")
+    own = [f"_by{i}" for i in range(len(by))]
+    q = points.select(*(F.col(c).alias(k) for c, k in zip(by, own, strict=True)), F.col(at).alias("_at")).distinct().filter("_at IS NOT NULL")
+    best = [F.min("_order").alias("_order"), F.min_by("_name", "_order").alias("_name")]
+    r = ranges.select(*(F.col(c).alias(k) for c, k in zip(by, own, strict=True)), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(name).alias("_name"), F.col(order).alias("_order"))
+    r = r.filter((F.col("_lo") <= F.col("_hi")) & F.col("_order").isNotNull()).groupBy(*own, "_lo", "_hi").agg(*best)
+    q, r = _in_parts(q, "_at", r, "_lo", "_hi", own)
+    ends = r.select(*own, F.explode(F.array_distinct(F.array("_pa", "_pb"))).alias("_p"), "_lo", "_hi", "_order", "_name")
+    whole = r.filter("_pb - _pa > 1").groupBy(*own, "_pa", "_pb").agg(F.first("_edges").alias("_edges"), *best)
+    whole = whole.select(*own, "_edges", F.explode(F.sequence(F.col("_pa") + 1, F.col("_pb") - 1)).alias("_p"), "_order", "_name")
+    whole = whole.groupBy(*own, "_p").agg(F.first(F.get("_edges", F.col("_p") - 1)).alias("_lo"), F.first(F.get("_edges", F.col("_p"))).alias("_hi"), *best)
+    out = StructType([*q.schema.fields, r.schema["_name"]])
+    ship(points.sparkSession)
+    hit = q.groupBy(*own, "_p").cogroup(ends.unionByName(whole).groupBy(*own, "_p")).applyInArrow(_painter(inclusive), out)
+    hit = hit.select(*(F.col(k).alias(c) for c, k in zip(by, own, strict=True)), F.col("_at").alias(at), F.col("_name").alias(name))
+    return points.join(hit, keys, "left")
 
 
 def outside_ranges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:

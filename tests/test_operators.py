@@ -331,3 +331,33 @@ def test_equal_places_and_ranges_are_paired_in_bundles(spark, monkeypatch):
     assert sorted((x.id, x.r) for x in got.collect()) == sorted((i, r) for i, at in points for r, lo, hi in ranges if at is not None and lo <= at <= hi)
     # Two bundles of 40 points each, two bundles of 35 ranges each: 0 lies in both kinds of ranges, 1 in one of them.
     assert joined[0].count() == 2 * 2 + 2 * 2 + 2 * 2
+
+
+def _odd_places(rng):
+    inf, nan = float("inf"), float("nan")
+    ranges = [(i, rng.choice("ab"), lo, lo + rng.choice([0.0, 0.5, 3.0, 400.0])) for i in range(400) for lo in [rng.randrange(-500, 500) / 2]]
+    ranges += [(-1, "a", 3.0, 3.0), (900, "a", -inf, -200.0), (901, "b", 200.0, inf), (902, "b", 240.0, nan), (903, "b", 4.0, 1.0), (904, "a", None, 9.0), (None, "a", -inf, inf)]
+    points = [(rng.choice("abc"), rng.randrange(-1400, 1400) / 4) for _ in range(900)] + [("a", None), ("b", nan), ("b", inf), ("a", -inf)]
+    return points, ranges
+
+
+def _least(points, ranges, inclusive, by):
+    key = lambda x: (x != x, 0.0 if x != x else x)
+    ok = lambda a, lo, hi: None not in (a, lo, hi) and key(lo) <= key(a) and (key(a) < key(hi) or inclusive and key(a) == key(hi))
+    return [(b, str(a), min((i for i, o, lo, hi in ranges if i is not None and (o == b or not by) and ok(a, lo, hi)), default=None)) for b, a in points]
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+@pytest.mark.parametrize("by", [[], ["b"]])
+def test_first_range_without_pairs(spark, monkeypatch, by, inclusive):
+    import random
+
+    from coredust.operators import relational
+
+    monkeypatch.setattr(relational, "_held", None)  # the pairs of points and ranges are never made
+    monkeypatch.setattr(relational, "PART_ROWS", 20)
+    points, ranges = _odd_places(random.Random(7))
+    p, r = spark.createDataFrame(points, "b string, at double"), spark.createDataFrame(ranges, "id long, b string, lo double, hi double")
+    got = relational.lookup_first(p, "at", r if by else r.drop("b"), "lo", "hi", "id", "id", 4, by, inclusive)
+    order = lambda xs: sorted(xs, key=str)
+    assert order((x.b, str(x["at"]), x.id) for x in got.collect()) == order(_least(points, ranges, inclusive, by))
