@@ -181,9 +181,23 @@ def lookup_first(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str
 
 
 def outside_ranges(points: DataFrame, at: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
-    """Points that no half-open range holds: code that belongs to no module."""
-    hit = _held(points.select(at).distinct(), at, ranges.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), "_lo", "_hi", width, False)
-    return points.join(hit.select(at).distinct(), at, "left_anti")
+    """Points that no half-open range holds: code that belongs to no module.
+
+    A point is held if the greatest end of the ranges that start at or before it lies beyond it: one sort in parts of about
+    equal content, into each of which the greatest end of the parts before is carried. ``width`` is not needed for that.
+    """
+    q = points.select(F.col(at).alias("_at")).filter("_at IS NOT NULL").distinct()
+    r = ranges.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).filter("_lo < _hi").groupBy("_lo").agg(F.max("_hi").alias("_hi"))
+    q, r = _in_parts(q, "_at", r, "_lo", "_hi", [])
+    both = q.select("_p", "_at", F.lit(None).cast(r.schema["_hi"].dataType).alias("_hi"), F.lit(1).alias("_k"))
+    both = both.unionByName(r.select(F.col("_pa").alias("_p"), F.col("_lo").alias("_at"), "_hi", F.lit(0).alias("_k")))
+    # At most a row a part.
+    carried = r.groupBy(F.col("_pa").alias("_c")).agg(F.max("_hi").alias("_m")).agg(F.collect_list(F.struct("_c", "_m")).alias("_carried"))
+    before = F.array_max(F.transform(F.filter("_carried", lambda x: x["_c"] < F.col("_p")), lambda x: x["_m"]))
+    parts = both.select("_p").distinct().crossJoin(F.broadcast(carried)).select("_p", before.alias("_before"))
+    reach = F.max("_hi").over(Window.partitionBy("_p").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    hit = both.withColumn("_reach", reach).filter("_k = 1").join(F.broadcast(parts), "_p").filter("_at < greatest(_reach, _before)")
+    return points.join(hit.select(F.col("_at").alias(at)), at, "left_anti")
 
 
 def last_before(points: DataFrame, marks: DataFrame, by: str, at: str, carry: str) -> DataFrame:

@@ -361,3 +361,19 @@ def test_first_range_without_pairs(spark, monkeypatch, by, inclusive):
     got = relational.lookup_first(p, "at", r if by else r.drop("b"), "lo", "hi", "id", "id", 4, by, inclusive)
     order = lambda xs: sorted(xs, key=str)
     assert order((x.b, str(x["at"]), x.id) for x in got.collect()) == order(_least(points, ranges, inclusive, by))
+
+
+def test_outside_without_pairs(spark, monkeypatch):
+    import random
+
+    from coredust.operators import relational
+
+    monkeypatch.setattr(relational, "_held", None)  # the pairs of points and ranges are never made
+    monkeypatch.setattr(relational, "PART_ROWS", 20)
+    points, ranges = _odd_places(random.Random(8))
+    ranges = [(0, *x[1:]) for x in ranges if x[0] is not None and x[0] % 9 == 0 or x[0] in (902, 903, 904)]
+    p, r = spark.createDataFrame(points, "b string, at double"), spark.createDataFrame(ranges, "id long, b string, lo double, hi double")
+    got = relational.outside_ranges(p, "at", r, "lo", "hi", 4)
+    want = [(b, a) for b, a, i in _least(points, ranges, False, False) if i is None]
+    assert 50 < len(want) < 850
+    assert sorted((x.b, str(x["at"])) for x in got.collect()) == sorted(want)
