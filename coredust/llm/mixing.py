@@ -3,10 +3,12 @@
 Each source gets a share of all words by weight. No source may be repeated more than ``MAX_EPOCHS`` times: a target
 beyond that stops there and the excess is shared again by weight among the rest (water filling, solved in closed form).
 
-Over training time t in [0, 1] a source's weight follows a linear schedule around its mean, so its cumulative demand is
+Over the schedule's time t in [0, 1] a source's weight follows a linear schedule around its mean, so its cumulative demand is
 ``T * (t + a * (t*t - t))`` with tilt ``a`` in [-1, 1]. Each pass over a document occupies an interval of its source's
-cumulative words; inverting the demand at the middle of that interval gives the training position, and range-sorting all
-passes by position yields the curriculum.
+cumulative words; inverting the demand at the middle of that interval gives the pass's position, and range-sorting all
+passes by position yields the curriculum. At time t a source has the share ``T * (1 + a * (2*t - 1))`` of the sum of all
+sources' demands, so shares add up to one at any time; that sum makes ``t + m * (t*t - t)`` the part of all words that is
+trained on by then, m being the mean tilt by target.
 
 Edge cases: a null text has size 0; a null source is a source of its own and ranks last; a null doc_id orders first;
 documents of size 0 take 0 words; repeated rows are mixed like any other (the rows are interchangeable); an empty table
@@ -33,7 +35,7 @@ PART_WORDS = 4_000_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Sequence[float] = TILTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) -> (source, source_size, target, tilt). One row a source, so single-task windows are small.
+    """(source, source_size) -> (source, source_size, target, tilt, mean_tilt). One row a source, so single-task windows are small.
 
     With sources in order of ``max_epochs * size / weight`` the first ones are capped; the level ``lambda`` of the others
     is what remains over their weights, at the first source whose share stays below its cap.
@@ -47,7 +49,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Se
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumns({"_k": F.row_number().over(by_cap), "_level": (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest)})
     level = F.min_by("_level", F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_k"))).over(everything)
-    return s.select("source", "source_size", F.least(F.col("_cap"), level * F.col("_w")).alias("target"), "tilt")
+    s = s.select("source", "source_size", F.least(F.col("_cap"), level * F.col("_w")).alias("target"), "tilt")
+    mean = F.try_divide(F.sum(F.col("target") * F.col("tilt")).over(everything), F.sum("target").over(everything))
+    return s.withColumn("mean_tilt", F.coalesce(mean, F.lit(0.0)))
 
 
 def _sized(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
@@ -60,11 +64,11 @@ def _sized(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
 
 
 def _placed(base: DataFrame, slim: DataFrame, weights, tilts, max_epochs) -> DataFrame:
-    """``base`` rows with source_size, target and ``passes``: an array of (pass, position), empty if none is taken."""
+    """``base`` rows with source_size, target, mean_tilt and ``passes``: an array of (pass, position), empty if none is taken."""
     offsets = materialize(bucket_prefix_sums(slim, ["_name", "source"], "_bucket", {"_off": F.col("size")}, totals=["_off"]), "mix-offsets")
     targets = source_targets(offsets.groupBy("source").agg(F.max("_off_total").alias("source_size")), weights, tilts, max_epochs)
     targets = targets.withColumnRenamed("source", "_s")
-    per_bucket = offsets.join(targets, F.col("source").eqNullSafe(F.col("_s"))).select("_name", "_bucket", "_off", "source_size", "target", "tilt")
+    per_bucket = offsets.join(targets, F.col("source").eqNullSafe(F.col("_s"))).select("_name", "_bucket", "_off", "source_size", "target", "tilt", "mean_tilt")
     joined = base.join(per_bucket, ["_name", "_bucket"])
     within = Window.partitionBy("_name", "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_off") + F.coalesce(F.sum("size").over(within), F.lit(0))
@@ -76,26 +80,41 @@ def _placed(base: DataFrame, slim: DataFrame, weights, tilts, max_epochs) -> Dat
         mid2 = (F.col("_start") + e * F.col("source_size")) * 2 + F.col("size")
         x = mid2 / (F.col("target") * 2)
         t = F.when(a == 0, x).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * x)) / (2 * a))
+        # A pass whose position is below 1 is taken; whole numbers decide that without rounding.
         return F.when((F.col("size") > 0) & (mid2 < F.col("target") * 2), F.struct(F.lit(e).alias("pass"), t.alias("position")))
 
     return placed.withColumn("passes", F.filter(F.array(*(one(e) for e in range(max_epochs))), lambda p: p.isNotNull()))
 
 
+def _in_order(rows: DataFrame, position: str, slim: DataFrame) -> DataFrame:
+    """``rows`` in training order: partitions of about ``PART_WORDS`` words that follow each other, sorted; unused rows last.
+
+    The part of all words before a position is known from the schedule, so no sample is needed to find the ranges.
+    """
+    words = slim.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-words // PART_WORDS))
+    t = F.col(position)
+    before = t + F.col("mean_tilt") * (t * t - t)
+    used = F.least(F.floor(before * parts), F.lit(parts - 1)).cast("int")
+    part = F.coalesce(used, F.lit(parts) + F.pmod(F.hash("_key"), F.lit(parts)))
+    return rows.repartitionById(2 * parts, part).sortWithinPartitions(t.asc_nulls_last(), "_name", "_key")
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Sequence[float] = TILTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken (words, repeats counted), first_position (null: unused)."""
+    """One row a document: doc_id, size, source_size, target, taken (words, repeats counted), first_position (null: unused).
+
+    Rows come in the order in which the curriculum first uses the documents.
+    """
     slim = materialize(_sized(docs, []), "mix-sizes")
-    out = _placed(slim, slim, weights, tilts, max_epochs)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("passes")).alias("taken"), F.get(F.col("passes.position"), F.lit(0)).alias("first_position"))
+    out = _placed(slim, slim, weights, tilts, max_epochs).withColumn("first_position", F.get(F.col("passes.position"), F.lit(0)))
+    taken = (F.col("size") * F.size("passes")).alias("taken")
+    return _in_order(out, "first_position", slim).select("doc_id", "size", "source_size", "target", taken, "first_position")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, tilts: Sequence[float] = TILTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mixture itself: the columns of ``docs``, a row for each pass over a document, range-sorted by position."""
     slim = materialize(_sized(docs, []).select("_name", "source", "size", "_bucket"), "mix-sizes")
     out = _placed(_sized(docs, docs.columns), slim, weights, tilts, max_epochs)
-    rows = out.select(*(f"_cd_{i}" for i in range(len(docs.columns))), F.explode("passes").alias("_p"))
-    # Positions are even in words, so equal parts of [0, 1] hold equal words: no sample is needed to find the ranges.
-    words = slim.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-words // PART_WORDS))
-    part = F.least(F.floor(F.col("_p.position") * parts), F.lit(parts - 1)).cast("int")
-    rows = rows.repartitionById(parts, part).sortWithinPartitions(F.col("_p.position"))
-    return rows.select(*(F.col(f"_cd_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    own = [f"_cd_{i}" for i in range(len(docs.columns))]
+    rows = out.select(*own, "_name", "_key", "mean_tilt", F.explode("passes").alias("_p")).withColumn("_t", F.col("_p.position"))
+    return _in_order(rows, "_t", slim).select(*(F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)))

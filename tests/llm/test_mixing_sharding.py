@@ -52,6 +52,34 @@ def test_mix_rows_are_ordered_and_repeat(spark):
     assert out.count() * 10 == plan.taken.sum()
 
 
+def test_plan_comes_in_the_order_of_the_curriculum(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 1000)
+    d = docs(spark, [(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(3000)] + [(9000, "", "a"), (9001, None, "b")])
+    plan = mixing.plan_mix(d).collect()
+    at = [r.first_position for r in plan]
+    used = [a for a in at if a is not None]
+    assert len(at) == 3002 and 0 < len(used) < 3000 and at == sorted(used) + [None] * (len(at) - len(used))
+    first = list(dict.fromkeys(r.doc_id for r in mixing.mix(d).collect()))
+    assert first == [r.doc_id for r in plan if r.first_position is not None]
+
+
+def test_shares_follow_the_schedule_and_parts_hold_equal_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 6000)
+    d = docs(spark, [(i, "w " * 5, "abc"[i % 3]) for i in range(12000)])
+    out = mixing.mix(d)
+    parts = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(parts) == 10 and max(parts) <= 1.02 * min(parts)
+    # Caps: none of the three is beyond 3 times its source, so targets are 5, 2 and 1 eighths.
+    order, n = [r.source for r in out.collect()], 0
+    for k in range(10):
+        lo, hi = k / 10, (k + 1) / 10
+        grown = [w / 8 * ((hi + a * (hi * hi - hi)) - (lo + a * (lo * lo - lo))) for w, a in zip(mixing.WEIGHTS, mixing.TILTS, strict=True)]
+        step = order[n : n + round(12000 * sum(grown))]
+        n += len(step)
+        for s, g in zip("abc", grown, strict=True):
+            assert abs(step.count(s) / len(step) - g / sum(grown)) < 0.01
+
+
 def test_empty_tables(spark):
     none = docs(spark, ODD).limit(0)
     assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
