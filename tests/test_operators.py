@@ -377,3 +377,31 @@ def test_outside_without_pairs(spark, monkeypatch):
     want = [(b, a) for b, a, i in _least(points, ranges, False, False) if i is None]
     assert 50 < len(want) < 850
     assert sorted((x.b, str(x["at"])) for x in got.collect()) == sorted(want)
+
+
+def test_pairs_leave_in_runs_and_repeats(spark, tmp_path):
+    import random
+
+    from coredust.operators import relational
+
+    rng = random.Random(5)
+    points = [(rng.randrange(1 << 60), 1000 + rng.random() * 600) for _ in range(1500)]
+    ranges = [(rng.randrange(1 << 60), lo, lo + 400 + rng.random() * 500) for lo in (900 + rng.random() * 200 for _ in range(1200))]
+    got = relational.lookup_all(spark.createDataFrame(points, "id long, at double"), "at", spark.createDataFrame(ranges, "r long, lo double, hi double"), "lo", "hi", 1000)
+    got.write.parquet(out := str(tmp_path / "pairs"))
+    rows = spark.read.parquet(out)
+    assert sorted(map(tuple, rows.select("id", "r").collect())) == sorted((i, r) for i, at in points for r, lo, hi in ranges if lo <= at <= hi)
+    # Places and ranges all differ: their values alone are kept, and less than a byte a pair.
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < rows.count()
+
+
+def test_crowded_buckets_are_dealt_out(spark, monkeypatch):
+    from coredust.operators import relational
+
+    monkeypatch.setattr(relational, "BLOCK", 4)
+    monkeypatch.setattr(relational, "SEGMENT", 2)
+    points = [(i, 100.0 + i % 37) for i in range(120)] + [(500, None), (501, 1e6)]
+    ranges = [(i, 90.0 + i % 23, 90.0 + i % 23 + i % 41) for i in range(150)]
+    got = relational.lookup_all(spark.createDataFrame(points, "id long, at double"), "at", spark.createDataFrame(ranges, "r long, lo double, hi double"), "lo", "hi", 64)
+    assert sorted((x.id, x.r) for x in got.collect()) == sorted((i, r) for i, at in points for r, lo, hi in ranges if at is not None and lo <= at <= hi)
